@@ -45,7 +45,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, kind: str = "by
             rows = []
             for a, b in slices(len(texts), [len(t) for t in texts]):
                 for name, got in zip(names[a:b], encoder.encode(texts[a:b]), strict=True):
-                    ids = np.frombuffer(got, encoder.code).astype("<u4").tobytes() + end
+                    ids = got.astype("<u4").tobytes() + end
                     n = len(ids) // 4
                     first = n % capacity or capacity
                     for k, stop in enumerate(range(first, n + 1, capacity)):

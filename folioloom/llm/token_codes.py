@@ -129,7 +129,7 @@ def token_segments(docs: DataFrame, tokenizer: str, kind: str = "word", end_id:
             texts = [t or "" for t in texts]
             for a, b in slices(len(texts), [len(t) for t in texts]):
                 for name, got in zip(names[a:b], encoder.encode(texts[a:b]), strict=True):
-                    own = np.frombuffer(got, encoder.code).astype("<u4")
+                    own = got.astype("<u4")
                     if size and size + len(own) >= segment:
                         yield flush()
                     ids.extend((own, end))
