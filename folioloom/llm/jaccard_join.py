@@ -1,10 +1,9 @@
 """Exact n-gram Jaccard join with prefix filters under several token orders.
 
 A document's set holds its distinct five-word shingles, hashed to 64 bits. Two
-sets with a Jaccard similarity of at least t share tokens in their prefixes,
-the first n - ceil(t n) + 1 tokens, under every global order of the tokens;
-with o = the least overlap, the prefixes of x and y share at least
-min(p(x) - n(x) + o, p(y) - n(y) + o) tokens. Orders used here put frequent
+sets with a Jaccard similarity of at least t share tokens in their prefixes
+under every global order of the tokens: with o = the least overlap, prefixes
+of p(x) and p(y) tokens share at least min(p(x) - n(x) + o, p(y) - n(y) + o). Orders used here put frequent
 tokens last (by a counting sketch over all documents) and differ in how they
 rank the others. Prefixes under the first order are posted and meet on their
 tokens; a candidate must share enough of them, then enough under each other
@@ -13,7 +12,11 @@ order, and only then are the whole sets intersected.
 Equal sets are one class and take part once. Members of a posting list are
 first tested against the list's least member; the components found so far are
 then merged, and only pairs across components remain, taken from the members
-outside a list's largest component. A group of near copies thus costs a few
+outside a list's largest component. Of the lists that hold such members each
+member keeps its shortest ones, as many as any partner must share with it: a
+prefix filter once more, with lists as tokens, which drops the long lists of
+common passages and of near copies. Parities of the tokens in 256 classes,
+which bound how far two sets differ, tell most of the others apart. A group of near copies thus costs a few
 tests a member, not all its pairs, and no link between components is lost.
 """
 
@@ -91,7 +94,8 @@ def order_keys(tokens: np.ndarray, levels: np.ndarray) -> list[np.ndarray]:
 
 
 def prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    """A tenth of the set beyond the least prefix, so that linked sets share many tokens of theirs, not just one."""
+    return min(n, n - -(-percent * n // 100) + 1 + n // 10)
 
 
 def least_overlap(n: int, m: int, percent: int) -> int:
@@ -178,16 +182,17 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5) -> DataF
 
         for batch in batches:
             for names, texts in _texts(batch):
-                sets, prefixes, prints = shingle_sets(texts, words), [], []
+                sets, prefixes, prints, signs = shingle_sets(texts, words), [], [], []
                 for x in sets:
                     prints.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
+                    signs.append(np.packbits(np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64))
                     if len(x):
                         p = prefix_size(len(x), percent)
                         x = x[np.argpartition(order_keys(x, levels.value)[0], p - 1)[:p]]
                     prefixes.append(x.tobytes())
-                yield pa.record_batch({"doc_id": names, "n": pa.array([len(x) for x in sets], pa.int64()), "print": pa.array(prints, pa.binary()), "prefix": pa.array(prefixes, pa.binary())})
+                yield pa.record_batch({"doc_id": names, "n": pa.array([len(x) for x in sets], pa.int64()), "print": pa.array(prints, pa.binary()), "prefix": pa.array(prefixes, pa.binary())} | {f"s{k}": pa.array([v[k] for v in signs], pa.int64()) for k in range(4)})
 
-    marked = written(docs.mapInArrow(emit_prefixes, "doc_id long, n long, print binary, prefix binary"), "prefixes")
+    marked = written(docs.mapInArrow(emit_prefixes, "doc_id long, n long, print binary, prefix binary, s0 long, s1 long, s2 long, s3 long"), "prefixes")
     classes = marked.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
     def emit_postings(batches: Iterator) -> Iterator:
@@ -240,10 +245,14 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5) -> DataF
     # Tokens with the same members make one list that counts as often.
     lists = written(lists.groupBy("list", "rep", "n", "leader", "leader_n").agg(F.count("*").cast("int").alias("times")), "lists")
 
+    def least_shared_sql(n: str, m: str) -> str:
+        """least_shared() in SQL."""
+        o = f"cast(ceil({percent} * cast({n} + {m} as long) / {100 + percent}) as long)"
+        p = f"(least(0, 1 + {{0}} div 10 - cast(ceil({percent} * cast({{0}} as long) / 100) as long)) + {o})"
+        return f"greatest(1, least({p.format(n)}, {p.format(m)}))"
+
     def shared_enough(n: str, m: str, shared: str):
-        o = f"cast(ceil({percent} * ({n} + {m}) / {100 + percent}) as long)"
-        p = f"(-cast(ceil({percent} * {{0}} / 100) as long) + 1 + {o})"
-        return F.expr(f"{percent} * greatest({n}, {m}) <= 100 * least({n}, {m}) and {shared} >= greatest(1, least({p.format(n)}, {p.format(m)}))")
+        return F.expr(f"{percent} * greatest({n}, {m}) <= 100 * least({n}, {m}) and {shared} >= {least_shared_sql(n, m)}")
 
     stars = lists.where("rep <> leader").groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.sum("times").alias("shared"), F.first("leader_n").alias("an"), F.first("n").alias("bn"))
     stars = written(stars.where(shared_enough("an", "bn", "shared")).select("a", "b"), "stars")
@@ -252,14 +261,30 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5) -> DataF
 
     member = lists.join(first.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     member = written(member, "members")
-    spread = member.groupBy("list", "component").agg(F.count("*").alias("k"))
-    live = spread.groupBy("list").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main")).where("parts > 1")
-    alive = member.join(live.select("list", "main"), "list")
-    x = alive.where("component <> main").select("list", "times", F.col("rep").alias("xr"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    y = alive.select("list", F.col("rep").alias("yr"), F.col("n").alias("yn"), F.col("component").alias("yc"), (F.col("component") == F.col("main")).alias("y_main"))
-    met = x.join(y, "list").where(f"xc <> yc and (y_main or xr < yr) and {percent} * greatest(xn, yn) <= 100 * least(xn, yn)")
-    met = met.groupBy(F.least("xr", "yr").alias("a"), F.greatest("xr", "yr").alias("b")).agg(F.sum("times").alias("shared"), F.first("xn").alias("an"), F.first("yn").alias("bn"))
-    rest = met.where(shared_enough("an", "bn", "shared")).select("a", "b").join(stars, ["a", "b"], "left_anti")
+    spread = member.groupBy("list", "component").agg(F.count("*").alias("k"), F.min("n").alias("low"), F.max("n").alias("high"))
+    live = spread.groupBy("list").agg(F.count("*").alias("parts"), F.sum("k").alias("length"), F.min("low").alias("low"), F.max("high").alias("high"), F.max_by("component", F.struct("k", "component")).alias("main")).where("parts > 1")
+    alive = member.join(live, "list").select("list", "times", "rep", "n", "component", "main", "length", "low", "high")
+    # Least that a member shares with any partner in its lists: it is least at either end of the partners' sizes.
+    alive = alive.withColumn("low", F.expr(f"greatest(low, cast(ceil({percent} * n / 100) as int))")).withColumn("high", F.expr(f"least(high, cast(floor(100 * n / {percent}) as int))"))
+    need = F.expr(f"greatest(1, least({least_shared_sql('n', 'low')}, {least_shared_sql('n', 'high')}) - 2)")  # 2: rounding between the ends
+    own = Window.partitionBy("rep", "n")
+    before = own.orderBy("length", "list").rowsBetween(Window.unboundedPreceding, -1)
+    alive = alive.withColumn("need", F.min(need).over(own)).withColumn("all", F.sum("times").over(own)).withColumn("before", F.coalesce(F.sum("times").over(before), F.lit(0)))
+    probes = alive.where("before <= `all` - need")
+    last = F.max(F.struct("length", "list")).over(own).alias("last")
+    probes = probes.select("list", "times", "rep", "n", "component", "main", "all", (F.col("all") - F.sum("times").over(own)).alias("dropped"), last)
+    signs = marked.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), *(F.first(f"s{k}").alias(f"s{k}") for k in range(4)))
+    probes = written(probes.join(signs.drop("print"), ["rep", "n"]), "probes")
+    carried = ("rep", "n", "component", "all", "dropped", "last", "s0", "s1", "s2", "s3")
+    x = probes.where("component <> main").select("list", "times", *(F.col(c).alias("x_" + c) for c in carried))
+    y = probes.select("list", *(F.col(c).alias("y_" + c) for c in carried), (F.col("component") == F.col("main")).alias("y_main"))
+    possible = f"{percent} * greatest(x_n, y_n) <= 100 * least(x_n, y_n) and least(x_all, y_all) >= {least_shared_sql('x_n', 'y_n')}"
+    # Parities that differ are no more than the tokens that only one of two sets has.
+    differ = " + ".join(f"bit_count(x_s{k} ^ y_s{k})" for k in range(4))
+    possible += f" and {differ} <= x_n + y_n - 2 * cast(ceil({percent} * cast(x_n + y_n as long) / {100 + percent}) as long)"
+    met = x.join(y, "list").where(f"x_component <> y_component and (y_main or x_rep < y_rep) and {possible}")
+    met = met.groupBy(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).agg(F.max(F.expr("if(x_last <= y_last, x_dropped, y_dropped)")).alias("beyond"), F.sum("times").alias("met"), F.first("x_n").alias("an"), F.first("y_n").alias("bn"))
+    rest = met.where(shared_enough("an", "bn", "(met + beyond)")).select("a", "b").join(stars, ["a", "b"], "left_anti")
     rest = written(rest, "rest")
     if rest.limit(1).count():
         links = _verified(rest, docs, levels, words, percent)
