@@ -87,14 +87,19 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, round
     """Empties bins, the emptiest first, by moves and exchanges that raise the sum of squared fills.
 
     Each step takes from the emptier bin and fills the fuller one, so the sum
-    rises strictly and the search ends; ``rounds`` bounds the passes.
+    rises strictly and the search ends; ``rounds`` bounds the passes. No more
+    bins can empty than there are beyond the least number, so only about as
+    many give; with none beyond it nothing is left to gain.
     """
+    least = -(-sum(lengths) // capacity)
     fill = [sum(lengths[i] for i in b) for b in bins]
     under = [k for k in range(len(bins)) if fill[k] < capacity]
     for _ in range(rounds):
-        changed = False
+        changed, beyond = False, sum(1 for b in bins if b) - least
+        if beyond <= 0:
+            break
         under = sorted((k for k in under if 0 < fill[k] < capacity), key=lambda k: (fill[k], k))
-        for a in under:
+        for a in under[: 2 * beyond + 2]:
             for b in reversed(under):
                 if a == b or not bins[a] or fill[b] < fill[a]:
                     continue

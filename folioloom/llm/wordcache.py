@@ -18,21 +18,24 @@ from array import array
 import numpy as np
 
 #: Pieces of a generation, about 200 bytes each. A full one becomes the old one, whose pieces are kept if they come again.
-CACHE = 500_000
+CACHE = 200_000
 #: Runs of letters encoded as one text.
 BULK = 20_000
 #: A piece for byte-level BPE: white space belongs to what follows it.
 BYTE_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space besides blank and newline: there byte-level cuts are not safe.
 ODD_SPACE = re.compile(r"[^\S \n]")
-#: Texts that are not just words with one blank or newline between them.
-UNEVEN = re.compile(r"[ \n][ \n]|^[ \n]|[ \n]\Z|\x00|[^\S \n]")
 #: ASCII marks besides the apostrophe, which takes part in contractions.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Other Latin letters without case surprises.
 LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
+def _even_spaced(t: str) -> bool:
+    """Whether a text is words with one blank or newline between them and no other white space or NUL."""
+    return t != "" and not ("  " in t or "\n\n" in t or " \n" in t or "\n " in t or "\0" in t or t[0] in " \n" or t[-1] in " \n" or len(t.split()) != t.count(" ") + t.count("\n") + 1)
+
+
 class Encoder:
     """kind "word": white space is dropped and case folded, so any blank or newline is a place to cut.
     kind "byte": a run of blanks and newlines goes with the word after it. A cached word stands for
@@ -175,7 +178,7 @@ class Encoder:
 
         if self.kind == "word":
             return self._lay(self._even(texts)) if texts else []
-        odd = [i for i, t in enumerate(texts) if UNEVEN.search(t) or not t]
+        odd = [i for i, t in enumerate(texts) if not _even_spaced(t)]
         skip = set(odd)
         even = [i for i in range(len(texts)) if i not in skip]
         out: list = [None] * len(texts)
@@ -188,7 +191,7 @@ class Encoder:
         return out
 
 
-def slices(n: int, lengths, most: int = 4_000_000):
+def slices(n: int, lengths, most: int = 1_500_000):
     """Ranges of rows with at most so many characters each, or one row."""
     start, total = 0, 0
     for i in range(n):
