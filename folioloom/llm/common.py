@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +49,29 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(f):
+    """f, a function of record batches, that hands memory it has freed back to the system when its task ends.
+
+    Workers are used again by later stages, and what they keep counts with the executor.
+    """
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def joinable(small: DataFrame, most: int = 100_000) -> DataFrame:
     """small with a broadcast hint if it has at most so many rows, which are counted.
 

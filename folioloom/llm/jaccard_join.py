@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioloom.llm.common import written
+from folioloom.llm.common import tidy, written
 from folioloom.llm.components import components
 from folioloom.llm.shingles import mix, shingle_sets
 from folioloom.llm.wordcache import slices
@@ -77,7 +77,7 @@ def _levels(docs: DataFrame, words: int) -> np.ndarray:
         for k, x in sums.items():
             yield pa.record_batch({"part": pa.array([k], pa.int32()), "counts": pa.array([x.tobytes()], pa.binary())})
 
-    parts = docs.select("doc_id", "text").mapInArrow(count, "part int, counts binary").repartition(PARTS, "part").mapInArrow(add, "part int, counts binary")
+    parts = docs.select("doc_id", "text").mapInArrow(tidy(count), "part int, counts binary").repartition(PARTS, "part").mapInArrow(tidy(add), "part int, counts binary")
     table = np.zeros((PARTS, (1 << COUNTERS) // PARTS), np.uint32)
     for row in parts.collect():  # PARTS rows of a fixed size
         table[row["part"]] = np.frombuffer(row["counts"], np.uint32)
@@ -143,7 +143,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 yield pa.record_batch({"doc_id": names, "tokens": pa.array([x.tobytes() for x in shingle_sets(texts, words)], pa.binary())})
 
     spots = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("spot"))
-    return spots.mapInArrow(emit_sets, "doc_id long, tokens binary")
+    return spots.mapInArrow(tidy(emit_sets), "doc_id long, tokens binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
@@ -161,7 +161,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, levels, words: int, percent: in
 
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
     full = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
-    return written(full.select("a", "b", "x", "y").mapInArrow(emit_links, "a long, b long"), "links")
+    return written(full.select("a", "b", "x", "y").mapInArrow(tidy(emit_links), "a long, b long"), "links")
 
 
 def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
@@ -192,7 +192,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5) -> DataF
                     prefixes.append(x.tobytes())
                 yield pa.record_batch({"doc_id": names, "n": pa.array([len(x) for x in sets], pa.int64()), "print": pa.array(prints, pa.binary()), "prefix": pa.array(prefixes, pa.binary())} | {f"s{k}": pa.array([v[k] for v in signs], pa.int64()) for k in range(4)})
 
-    marked = written(docs.mapInArrow(emit_prefixes, "doc_id long, n long, print binary, prefix binary, s0 long, s1 long, s2 long, s3 long"), "prefixes")
+    marked = written(docs.mapInArrow(tidy(emit_prefixes), "doc_id long, n long, print binary, prefix binary, s0 long, s1 long, s2 long, s3 long"), "prefixes")
     classes = marked.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
     def emit_postings(batches: Iterator) -> Iterator:
@@ -239,9 +239,9 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5) -> DataF
         if left is not None and len(left[0]) and (rows := lists(*left)) is not None:
             yield rows
 
-    postings = classes.select("rep", "n", "prefix").mapInArrow(emit_postings, "token long, rep long, n int")
+    postings = classes.select("rep", "n", "prefix").mapInArrow(tidy(emit_postings), "token long, rep long, n int")
     sorted_postings = postings.repartition("token").sortWithinPartitions("token", "n", "rep")
-    lists = sorted_postings.mapInArrow(emit_lists, "list long, leader long, leader_n int, rep long, n int")
+    lists = sorted_postings.mapInArrow(tidy(emit_lists), "list long, leader long, leader_n int, rep long, n int")
     # Tokens with the same members make one list that counts as often.
     lists = written(lists.groupBy("list", "rep", "n", "leader", "leader_n").agg(F.count("*").cast("int").alias("times")), "lists")
 

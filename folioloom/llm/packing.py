@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioloom.llm.common import written
+from folioloom.llm.common import tidy, written
 from folioloom.llm.wordcache import Encoder, slices
 
 #: Pieces of a block, on average.
@@ -55,9 +55,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, kind: str = "by
                         slot += 1
             cols = list(zip(*rows)) if rows else [()] * 7
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            del texts
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "slot"])
+        encoder.forget()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(cut), PIECES)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
+from folioloom.llm.common import tidy
 from folioloom.llm.wordcache import slices
 
 TERMS, SHARES, LATENT = 4093, 10, 64
@@ -144,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 "values": pa.array([v[r].tobytes() for v, r in zip(x, rows)], pa.binary()),
             })
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(few, "doc_id").mapInArrow(emit, "doc_id long, label int, terms binary, values binary")
+    found = docs.select(F.col("doc_id").cast("long"), "text").join(few, "doc_id").mapInArrow(tidy(emit), "doc_id long, label int, terms binary, values binary")
     got = sorted(found.limit(4 * sample).collect(), key=lambda r: (r["doc_id"], bytes(r["terms"]), bytes(r["values"])))
     x = np.zeros((len(got), TERMS + SHARES), np.float32)
     for i, r in enumerate(got):
@@ -170,7 +171,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str]
             kept = batch.select(keep).append_column("score", pa.array(found, pa.float64()))
             yield kept.append_column("predicted", pa.array((found >= threshold).astype(np.int32)))
 
-    return docs.mapInArrow(emit_scores, schema)
+    return docs.mapInArrow(tidy(emit_scores), schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

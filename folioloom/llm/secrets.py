@@ -19,6 +19,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioloom.llm.common import tidy
+
 #: Fixed patterns of the base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -124,7 +126,7 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
             yield pa.record_batch(cols | {"base_sha256": pa.array(prints, pa.string()), "spans": pa.array(spans, pa.string())})
 
     kinds = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(find, kinds)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(find), kinds)
 
 
 def redact_text(text: str, mark: str = "[secret]", reach: int = REACH) -> str:
@@ -150,5 +152,5 @@ def redact(docs: DataFrame, mark: str = "[secret]", reach: int = REACH) -> DataF
                 batch = batch.set_column(names.index("text"), batch.schema.field("text"), pa.array(new, batch.schema.field("text").type))
             yield batch
 
-    out = docs.mapInArrow(replace, schema)
+    out = docs.mapInArrow(tidy(replace), schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)).select(names) if "n_chars" in names else out

@@ -65,6 +65,10 @@ class Encoder:
             cls.held[path, kind] = cls(path, kind)
         return cls.held[path, kind]
 
+    def forget(self) -> None:
+        """Drops the older generation, at a task's end."""
+        self.old = {}
+
     def _singly(self, keys: list[str]) -> None:
         texts = keys if self.kind == "word" else [k[1:] if k[:1] == "\0" else " " + k for k in keys]
         for k, e in zip(keys, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
