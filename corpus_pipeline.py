@@ -31,7 +31,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    # Workers also hold what earlier stages left, so the cache is kept small here.
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), cache=100_000)
 
 
 STAGES = [

@@ -18,26 +18,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioloom.llm.common import tidy, written
-from folioloom.llm.wordcache import Encoder, slices
+from folioloom.llm.wordcache import CACHE, Encoder, slices
 
 #: Pieces of a block, on average.
 BLOCK = 16_384
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, slot long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, kind: str = "byte", end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, kind: str = "byte", end_id: int = 0, cache: int = CACHE) -> DataFrame:
     """Pieces of all documents; a document over capacity is cut so that only its first piece is short.
 
     Null texts count as empty (one piece, the end id). Rows that repeat a
     doc_id are documents of their own. part and slot name a row for good once
-    the pieces are written.
+    the pieces are written. A smaller cache of word pieces takes less memory and
+    more time.
     """
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, part, slot = Encoder.of(tokenizer, kind), TaskContext.get().partitionId(), 0
+        encoder, part, slot = Encoder.of(tokenizer, kind, cache), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
@@ -57,7 +58,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, kind: str = "by
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             del texts
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "slot"])
-        encoder.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(cut), PIECES)
 

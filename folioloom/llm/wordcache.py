@@ -18,7 +18,7 @@ from array import array
 import numpy as np
 
 #: Pieces of a generation, about 200 bytes each. A full one becomes the old one, whose pieces are kept if they come again.
-CACHE = 200_000
+CACHE = 500_000
 #: Runs of letters encoded as one text.
 BULK = 20_000
 #: A piece for byte-level BPE: white space belongs to what follows it.
@@ -52,23 +52,20 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.kind, self.cache, self.old = kind, {}, {}
+        self.kind, self.cache, self.old, self.limit = kind, {}, {}, CACHE
         #: Whether an id ends a word (kind "word") or starts one after a blank (kind "byte").
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.edge[i] = token.endswith("</w>") if kind == "word" else token.startswith("\u0120")
 
     @classmethod
-    def of(cls, path: str, kind: str) -> Encoder:
+    def of(cls, path: str, kind: str, cache: int = CACHE) -> Encoder:
         """One per worker process."""
         if (path, kind) not in cls.held:
             cls.held[path, kind] = cls(path, kind)
+        cls.held[path, kind].limit = cache
         return cls.held[path, kind]
 
-    def forget(self) -> None:
-        """Drops the older generation, at a task's end."""
-        self.old = {}
-
     def _singly(self, keys: list[str]) -> None:
         texts = keys if self.kind == "word" else [k[1:] if k[:1] == "\0" else " " + k for k in keys]
         for k, e in zip(keys, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
@@ -148,7 +145,7 @@ class Encoder:
     def _lay(self, lists) -> list[np.ndarray]:
         found = lists.flatten().dictionary_encode()
         keys = found.dictionary.to_pylist()
-        if len(self.cache) > CACHE:
+        if len(self.cache) > self.limit:
             self.old, self.cache = self.cache, {}
         cache = self.cache
         ids = list(map(cache.get, keys))
@@ -195,7 +192,7 @@ class Encoder:
         return out
 
 
-def slices(n: int, lengths, most: int = 1_500_000):
+def slices(n: int, lengths, most: int = 3_000_000):
     """Ranges of rows with at most so many characters each, or one row."""
     start, total = 0, 0
     for i in range(n):
