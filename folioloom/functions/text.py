@@ -178,12 +178,12 @@ def _roman(n: Column, most: int = 3999) -> Column:
 
 
 def _letters(n: Column) -> Column:
-    """Bijective base 26; seven letters hold any integer."""
-    out, rest = F.lit(""), n
-    for _ in range(7):
-        out = F.when(rest > 0, F.concat(F.chr((65 + (rest - 1) % 26).cast("int")), out)).otherwise(out)
-        rest = F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(F.lit(0))
-    return out
+    """Bijective base 26; seven letters hold any integer. Place k is there from the sum of the powers up to k on."""
+    n, out = n.cast("long"), []
+    for k in range(6, -1, -1):
+        least = (26 ** (k + 1) - 1) // 25
+        out.append(F.when(n >= least, F.chr((65 + F.floor((n - least) / 26**k) % 26).cast("int"))).otherwise(""))
+    return F.concat(*out)
 
 
 def _han_number(n: Column) -> Column:

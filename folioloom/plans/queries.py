@@ -7,13 +7,16 @@ against SQL that knows the fixture's construction.
 
 from __future__ import annotations
 
+import functools
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as T
-from folioloom.operators import contents, layout, lines, numbering
+from folioloom.operators import contents, images, layout, lines, numbering
+from folioloom.plans import convert
 from folioloom.sinks import render
 from folioloom.sources import files
 
@@ -27,6 +30,11 @@ lines AS (SELECT doc_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS line_no, u
 """
 
 
+#: Of a column n from 1 to 3999.
+SQL_ROMAN = """repeat('M', CAST(floor(n / 1000) AS INTEGER)) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][CAST(floor(n / 100) AS INTEGER) % 10 + 1]
+|| ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][CAST(floor(n / 10) AS INTEGER) % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10 + 1]"""
+
+
 def query(sql: str | None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -45,15 +53,20 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.lines(docs(spark, sf_dir))
 
 
+@query(
+    SQL_LINES
+    + """, c AS (SELECT doc_id, string_split(text, '') AS ch FROM lines),
+p AS (SELECT doc_id, array_to_string(list_filter(ch, lambda x, i: NOT (regexp_matches(x, '\\p{P}') AND i > 1 AND x = ch[i - 1])), '') AS t FROM c),
+k AS (SELECT doc_id, replace(array_to_string(regexp_extract_all(t, '[A-Za-z0-9]+(?:\\s+[A-Za-z0-9]+)*|\\S'), ''), ' ', '') AS t FROM p)
+SELECT doc_id, CAST(sum(length(t)) AS BIGINT) AS n_chars, CAST(0 AS BIGINT) AS n_han, CAST(sum(length(regexp_replace(t, '[^A-Za-z]', '', 'g'))) AS BIGINT) AS n_letters,
+CAST(sum(length(regexp_replace(t, '[^0-9]', '', 'g'))) AS BIGINT) AS n_digits, CAST(sum(length(regexp_replace(t, '[A-Za-z0-9]', '', 'g'))) AS BIGINT) AS n_other FROM k WHERE t <> '' GROUP BY doc_id"""
+)
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: lines tidied, empty ones dropped, counted by document."""
     rows = doc_lines(spark, sf_dir).withColumn("text", T.tidy_spaces(T.collapse_punctuation(F.col("text")))).where("text <> ''")
     return lines.char_stats(rows)
 
 
-QUERIES["clean_lines"] = clean_lines
-
-
 @query(SQL_LINES + "SELECT doc_id, line_no, text FROM lines")
 def line_scan(spark, sf_dir):
     return doc_lines(spark, sf_dir)
@@ -310,14 +323,14 @@ def running_numbers(spark, sf_dir):
 
 
 @query(
-    """WITH n AS (SELECT CAST(p_partkey AS BIGINT) AS n FROM part WHERE p_partkey BETWEEN 1 AND 702), u AS (SELECT n, CAST(floor((n - 1) / 26) AS BIGINT) AS hi, (n - 1) % 26 AS lo FROM n),
-r AS (SELECT n, ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC'][CAST(floor(n / 100) AS INTEGER) + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][CAST(floor(n / 10) AS INTEGER) % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10 + 1] AS roman FROM n)
-SELECT u.n, CAST(u.n AS VARCHAR) AS plain, roman, lower(roman) AS low_roman, (CASE WHEN hi > 0 THEN chr(CAST(64 + hi AS INTEGER)) ELSE '' END) || chr(CAST(65 + lo AS INTEGER)) AS letters FROM u JOIN r ON u.n = r.n"""
+    f"""WITH n AS (SELECT p_partkey, CAST(p_partkey % 702 + 1 AS BIGINT) AS n FROM part), u AS (SELECT p_partkey, n, CAST(floor((n - 1) / 26) AS BIGINT) AS hi, (n - 1) % 26 AS lo, {SQL_ROMAN} AS roman FROM n)
+SELECT p_partkey, n, CAST(n AS VARCHAR) AS plain, roman, lower(roman) AS low_roman, (CASE WHEN hi > 0 THEN chr(CAST(64 + hi AS INTEGER)) ELSE '' END) || chr(CAST(65 + lo AS INTEGER)) AS letters FROM u"""
 )
 def number_formats(spark, sf_dir):
-    n = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey between 1 and 702").select(F.col("p_partkey").cast("long").alias("n"))
+    """Every part's key, brought into 1 to 702, the numbers of one or two letters."""
+    n = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr("p_partkey % 702 + 1").cast("long").alias("n"))
     form = lambda name: T.format_number(F.col("n"), F.lit(name))
-    return n.select("n", form("decimal").alias("plain"), form("upperRoman").alias("roman"), form("lowerRoman").alias("low_roman"), form("upperLetter").alias("letters"))
+    return n.select("p_partkey", "n", form("decimal").alias("plain"), form("upperRoman").alias("roman"), form("lowerRoman").alias("low_roman"), form("upperLetter").alias("letters"))
 
 
 @query("SELECT doc_id, CAST(doc_id % 99 + 1 AS BIGINT) AS value FROM documents")
@@ -351,3 +364,150 @@ def coordinates(spark, sf_dir):
 def image_suffixes(spark, sf_dir):
     kinds = F.array(*map(F.lit, ("image/png", "image/jpeg", "image/x-emf", "image/tiff")))
     return docs(spark, sf_dir).select("doc_id", T.image_suffix(F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int"))).alias("suffix"))
+
+
+@query(
+    SQL_LINES
+    + """SELECT doc_id, line_no, line_no % 6 NOT IN (2, 5) AS is_heading, CAST(CASE line_no % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 3 END AS INTEGER) AS depth FROM lines"""
+)
+def headings(spark, sf_dir):
+    """Lines whose letters follow a chapter, a number, nothing, a numeral in parentheses, a listed number or a dotted one."""
+    forms = F.array(*map(F.lit, ("第三章", "2.", "", "（四）", "5、", "1.2.3 ")))
+    text = F.concat(F.element_at(forms, (F.col("line_no") % 6 + 1).cast("int")), F.lit("ab"), F.regexp_replace("text", "[^a-z]", ""))
+    return doc_lines(spark, sf_dir).select("doc_id", "line_no", T.is_heading(text).alias("is_heading"), T.number_depth(text).alias("depth"))
+
+
+@query(
+    SQL_LINES
+    + """, s AS (SELECT doc_id, CAST(floor(line_no / 13) AS INTEGER) AS block, min(line_no) AS start_line, max(line_no) AS end_line, string_agg(regexp_replace(text, '\\d+\\s*$', 'x') || ' ...' || CAST(line_no + 1 AS VARCHAR), chr(10) ORDER BY line_no) AS text
+FROM lines WHERE (line_no % 13) < (doc_id % 4) + 1 GROUP BY 1, 2)
+SELECT doc_id, start_line, end_line, text FROM s WHERE end_line > start_line"""
+)
+def region_texts(spark, sf_dir):
+    """No line has the keyword, so every document falls back to its runs of items."""
+    rows = doc_lines(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"\d+\s*$", "x"))
+    rows = rows.withColumn("text", F.expr(f"case when {NUMBERED} then concat(text, ' ...', line_no + 1) else concat(text, '.') end"))
+    return contents.region_texts(rows, contents.regions(rows))
+
+
+@query(
+    SQL_LINES
+    + """SELECT doc_id, line_no AS ord, CAST(CASE WHEN line_no % 2 = 0 THEN line_no % 3 + 1 WHEN line_no > 1 THEN (line_no - 1) % 3 + 1 END AS INTEGER) AS level, 'e' || CAST(line_no AS VARCHAR) AS text, CAST(line_no + 1 AS VARCHAR) AS page FROM lines WHERE doc_id % 3 = 0 AND line_no BETWEEN 1 AND 5
+UNION ALL SELECT doc_id, line_no, 2, 'e' || CAST(line_no AS VARCHAR), CAST(line_no + 1 AS VARCHAR) FROM lines WHERE doc_id % 3 = 1 AND line_no % 4 = 1
+UNION ALL SELECT doc_id, line_no, 2, '1.' || CAST(line_no AS VARCHAR) || ' name', CAST(line_no + 7 AS VARCHAR) FROM lines WHERE doc_id % 3 = 2 AND line_no BETWEEN 1 AND 5"""
+)
+def contents_entries(spark, sf_dir):
+    """A third of the documents has a contents field over their first paragraphs, a third styled entries, a third a typed list."""
+    kind, n = F.col("doc_id") % 3, F.col("line_no")
+    word = lambda c: c.cast("string")
+    pair = F.array(F.concat(F.lit("e"), word(n)), word(n + 1))
+    typed = F.when(n == 0, "Contents").when(n <= 5, F.concat(F.lit("1."), word(n), F.lit(" name ... "), word(n + 7))).otherwise("prose.")
+    field_style = F.when((n % 2 == 0) & (n > 0), F.concat(F.lit("TOC"), word(n % 3 + 1)))
+    rows = doc_lines(spark, sf_dir).select(
+        "doc_id", n.alias("ord"), F.when(kind == 0, field_style).when((kind == 1) & (n % 4 == 1), "toc 2").alias("style"), F.when(kind == 2, F.array(typed)).otherwise(pair).alias("texts"),
+        ((kind == 0) & (n == 0)).alias("field_begin"), ((kind == 0) & (n == 6)).alias("field_end"), F.when((kind == 0) & (n == 0), ' TOC \\o "1-3" ').alias("instruction"),
+    )
+    return contents.entries(rows)
+
+
+@query(
+    SQL_LINES
+    + """SELECT doc_id, '[' || string_agg('{"level":' || CAST(line_no % 3 + 1 AS VARCHAR) || ',"text":"entry","page":' || (CASE WHEN line_no % 2 = 0 THEN '"' || CAST(line_no + 1 AS VARCHAR) || '"' ELSE 'null' END) || '}', ',' ORDER BY line_no) || ']' AS value FROM lines GROUP BY doc_id"""
+)
+def contents_json(spark, sf_dir):
+    n = F.col("line_no")
+    return render.contents_json(doc_lines(spark, sf_dir).select("doc_id", n.alias("ord"), (n % 3 + 1).alias("level"), F.lit("entry").alias("text"), F.when(n % 2 == 0, (n + 1).cast("string")).alias("page")))
+
+
+@query(
+    SQL_WORDS
+    + """SELECT doc_id, line_no, CAST(page_index + 1 AS VARCHAR) || '|' || (CASE WHEN doc_id % 2 = 0 THEN '595.0,842.0' ELSE '' END) || '|' || (CASE WHEN line_no % 7 = 3 THEN 'image' WHEN line_no % 7 = 5 THEN 'table' ELSE 'text' END) || '|'
+|| (CASE WHEN line_no % 5 = 0 THEN '' ELSE CAST(x0 AS VARCHAR) || ',' || CAST(top AS VARCHAR) || ',' || CAST(x1 AS VARCHAR) || ',' || CAST(bottom AS VARCHAR) END) || '|' || (CASE WHEN line_no % 3 = 0 THEN 'F1,9.5;F2,10.0' ELSE '' END) AS value FROM b"""
+)
+def line_metadata(spark, sf_dir):
+    """Boxes, page sizes and fonts are missing from some lines."""
+    n, sized = F.col("line_no"), F.col("doc_id") % 2 == 0
+    font = lambda name, size: F.struct(F.lit(name).alias("name"), F.lit(size).alias("size"))
+    rows = line_boxes(spark, sf_dir).select(
+        "doc_id", "page_index", n.alias("line_index"), *(F.when(n % 5 != 0, F.col(c)).alias(c) for c in ("x0", "top", "x1", "bottom")), (n % 7 == 3).alias("is_image"), (n % 7 == 5).alias("is_table"),
+        F.when(sized, 595.0).alias("page_width"), F.when(sized, 842.0).alias("page_height"), F.when(n % 3 == 0, F.array(font("F1", 9.5), font("F2", 10.0))).alias("fonts"),
+    )
+    return render.metadata(rows).withColumnRenamed("line_index", "line_no")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, CAST(doc_id % 3 AS INTEGER) AS n, '["' || coalesce(lang, '') || '","' || coalesce(source, '') || '"]' AS one FROM documents)
+SELECT doc_id, CASE WHEN n > 0 THEN '{"data":[' || one || (CASE WHEN n = 2 THEN ',' || one ELSE '' END) || '],"rows":' || CAST(n AS VARCHAR) || ',"cols":2}' END AS value FROM d"""
+)
+def table_json(spark, sf_dir):
+    """Tables of no, one or two rows of two cells."""
+    row = F.array(F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
+    return docs(spark, sf_dir).select("doc_id", render.table_json(F.array_repeat(row, (F.col("doc_id") % 3).cast("int"))).alias("value"))
+
+
+@query(
+    SQL_LINES
+    + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INTEGER) AS bookmark_id, 'index_' || CAST(line_no AS VARCHAR) AS name FROM lines WHERE line_no % 3 <> 1"
+)
+def bookmarks(spark, sf_dir):
+    """Elements with none, one or two items."""
+    return render.bookmarks(doc_lines(spark, sf_dir).select("doc_id", F.col("line_no").alias("element_index"), F.explode(F.expr("array_repeat('text', case line_no % 3 when 0 then 2 when 1 then 0 else 1 end)")).alias("type")))
+
+
+@query(SQL_LINES + "SELECT DISTINCT doc_id, CAST(floor(line_no / 20) AS INTEGER) AS line_no, CAST(floor(line_no / 20) AS INTEGER) + 1 || '|第' || CAST(CAST(floor(line_no / 20) AS INTEGER) + 1 AS VARCHAR) || '页' AS value FROM lines")
+def captured_pages(spark, sf_dir):
+    """A page number at the foot of every page of twenty lines, and the same text at its head, which stays."""
+    pages = doc_lines(spark, sf_dir).select("doc_id", F.floor(F.col("line_no") / 20).cast("int").alias("page_index")).distinct()
+    text = F.concat(F.lit("第"), (F.col("page_index") + 1).cast("string"), F.lit("页"))
+    rows = pages.select("doc_id", "page_index", F.col("page_index").alias("line_index"), text.alias("text"), F.explode(F.array(F.lit(20.0), F.lit(800.0))).alias("bottom"), F.lit(842.0).alias("page_height"), F.lit(False).alias("is_image"), F.lit(False).alias("is_table"))
+    return render.page_lines(lines.route_page_numbers(rows)).withColumnRenamed("line_index", "line_no")
+
+
+@query("SELECT doc_id, coalesce(n_chars > 0 AND abs(CAST(n_chars + doc_id % 50 AS DOUBLE) / CAST(n_chars AS DOUBLE) - 1) <= 0.03, false) AS is_square FROM documents")
+def square_images(spark, sf_dir):
+    """Images as high as a text is long, and up to 49 units wider."""
+    return docs(spark, sf_dir).select("doc_id", images.is_square((F.col("n_chars") + F.col("doc_id") % 50).cast("double"), F.col("n_chars").cast("double")).alias("is_square"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN '宋体' ELSE 'F' || CAST(doc_id AS VARCHAR) END AS font FROM documents")
+def font_names(spark, sf_dir):
+    """Plain names, and bytes literals of plain and of GBK names."""
+    plain = F.concat(F.lit("F"), F.col("doc_id").cast("string"))
+    name = F.when(F.col("doc_id") % 3 == 0, plain).when(F.col("doc_id") % 3 == 1, r"b'\xcb\xce\xcc\xe5'").otherwise(F.concat(F.lit("b'"), plain, F.lit("'")))
+    return docs(spark, sf_dir).select("doc_id", T.clean_font_name(name).alias("font"))
+
+
+@query(
+    SQL_NUMBERS
+    + f""", v AS (SELECT doc_id, CAST(ord AS BIGINT) AS ord, num_fmt, CAST(start + row_number() OVER (PARTITION BY doc_id, num ORDER BY ord) - 1 AS BIGINT) AS n FROM q WHERE num IS NOT NULL)
+SELECT doc_id, ord, (CASE num_fmt WHEN 'decimal' THEN CAST(n AS VARCHAR) ELSE {SQL_ROMAN} END) || '. ' AS prefix FROM v"""
+)
+def list_prefixes(spark, sf_dir):
+    return numbering.prefixes(*paragraph_tables(spark, sf_dir))
+
+
+@query(SQL_LINES + "SELECT doc_id, coalesce(bool_or((line_no % 4 = 0 AND line_no % 3 > 0) OR (line_no % 4 <> 0 AND line_no % 3 = 1)), false) AS has_numbering FROM lines GROUP BY doc_id")
+def has_numbering(spark, sf_dir):
+    return numbering.has_numbering(paragraph_tables(spark, sf_dir)[0])
+
+
+#: Of a column text of small letters: left to right, four equal ones become one.
+SQL_FOURFOLD = functools.reduce(lambda x, c: f"replace({x}, '{c * 4}', '{c}')", string.ascii_lowercase, "text")
+
+
+@query(
+    SQL_WORDS
+    + f""", t AS (SELECT DISTINCT doc_id, page_index, 50.0::DOUBLE AS x0, (40 + doc_id % 30)::DOUBLE AS top FROM b WHERE page_index % 2 = 0),
+e AS (SELECT doc_id, page_index, top AS y, x0 AS x, {SQL_FOURFOLD} AS text, 0 AS k FROM b WHERE NOT (page_index % 2 = 0 AND x0 < 300 AND x1 > 50 AND top < 130 AND bottom > 40 + doc_id % 30)
+UNION ALL SELECT doc_id, page_index, top, x0, '{{{{table_' || CAST(page_index + 1 AS VARCHAR) || '_1}}}}', 2 FROM t)
+SELECT doc_id, page_index, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_index, y, x, k) - 1 AS INTEGER) AS line_index, text FROM e"""
+)
+def layout_lines(spark, sf_dir):
+    """The whole conversion of layouts: words in lines, a table on every other page."""
+    w = words(spark, sf_dir)
+    page = w.select("doc_id", "page_index").distinct()
+    tables = page.where("page_index % 2 = 0").select("doc_id", "page_index", F.lit(0).alias("table_idx"), F.lit(50.0).alias("x0"), (40 + F.col("doc_id") % 30).cast("double").alias("top"), F.lit(300.0).alias("x1"), F.lit(130.0).alias("bottom"), F.expr("array(array('a'))").alias("cells"))
+    pictures = tables.where("false").withColumnRenamed("table_idx", "img_idx").drop("cells")
+    chars = w.select("doc_id", "page_index", "ord", F.lit("F").alias("fontname"), F.lit(9.0).alias("size"), "x0", "x1", "top", "bottom")
+    sizes = page.withColumn("width", F.lit(595.0)).withColumn("height", F.lit(9999.0))
+    return convert.convert_layout(w.drop("line_no"), tables, pictures, chars, sizes).select("doc_id", "page_index", "line_index", "text")
