@@ -20,19 +20,24 @@ from folioloom.llm.common import joinable, n_words, written
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Levels of 256 bins each.
 LEVELS = 3
+#: The least quality weight; it scales positions, so that no bin holds over 2^-20 of a source by its keys.
+LEAST = 0.1
 
 
 def quality_weight(text: Column, words: Column) -> Column:
-    """From 0.1 for texts full of marks to 1."""
+    """From LEAST for texts full of marks to 1."""
     marks = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
-    return F.coalesce(F.greatest(F.lit(0.1), 1 - 2.0 * marks / F.greatest(words, F.lit(1))), F.lit(0.1))
+    return F.coalesce(F.greatest(F.lit(LEAST), 1 - 2.0 * marks / F.greatest(words, F.lit(1))), F.lit(LEAST))
 
 
 def key_position(text: Column, doc_id: Column, weight: Column, seed: int) -> Column:
-    """1 - exp(-key), in [0, 1), of the exponential key of a document: in the keys' order."""
+    """1 - exp(-LEAST * key), in [0, 1), of the exponential key of a document: in the keys' order.
+
+    Evenly spread for the least weight, so large keys do not crowd below 1.
+    """
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 11)
     uniform = (bits.cast("double") + 0.5) / float(1 << 53)
-    return F.least(1 - F.pow(uniform, 1 / weight), F.lit(1 - 2.0**-53))
+    return F.least(1 - F.pow(uniform, LEAST / weight), F.lit(1 - 2.0**-53))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
