@@ -26,8 +26,8 @@ LANES = 128
 #: Words of a piece.
 RUN = 6
 PIECE = re.compile(r"(?:[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*){1,%d}" % RUN)
-#: Rows of a range of documents, about.
-RANGE = 4096
+#: Rows of a range of documents, about, and the most ranges; beyond those ranges grow, and tasks stream them.
+RANGE, MOST_RANGES = 4096, 16_384
 
 
 def pieces(text: str) -> list[str]:
@@ -82,7 +82,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def fingerprints(docs: DataFrame, rows: int = RANGE) -> DataFrame:
+def fingerprints(docs: DataFrame, rows: int = RANGE, most: int = MOST_RANGES) -> DataFrame:
     """A row per document, against the next by ascending doc_id (after the last: the first).
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint
@@ -92,10 +92,11 @@ def fingerprints(docs: DataFrame, rows: int = RANGE) -> DataFrame:
 
     Documents are dealt into ranges of ids whose bounds are ids that occur, so
     the row after a range's end is known beforehand and is sent along with it.
+    The bounds, ``most`` at most, are all that reaches the driver.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     total, low = docs.agg(F.count("*"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63))))).first()
-    n = max(1, total // rows)
+    n = min(max(1, total // rows), most)
     marks = []
     if n > 1:
         shares = ",".join(str(k / n) for k in range(1, n))

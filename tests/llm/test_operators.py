@@ -131,6 +131,12 @@ def test_weighted_keys_prefer_weight(spark):
     assert 0.75 * 2000 < first < 0.85 * 2000  # 4 of 5
 
 
+def test_keys_do_not_crowd(spark):
+    for weight in (mixing.LEAST, 1.0):
+        at = spark.range(20_000).select(mixing.key_position(F.lit("t"), F.col("id"), F.lit(weight), 5).alias("at"))
+        assert at.groupBy(F.floor(F.col("at") * 256)).count().agg(F.max("count")).first()[0] < 20_000 * 12 / 256
+
+
 def test_quality(spark, odd):
     sf = "/root/testdata/sf0.01"
     docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
@@ -373,8 +379,9 @@ def test_fingerprints(spark, sf_dir, odd):
             f, g, h = (fingerprints.fingerprint(t) for t in (a["text"], changed, b["text"]))
             near = [round(float(fingerprints.likeness(f[None], x[None])[0]), 9) for x in (g, h)]
             want[a["doc_id"], n, hashlib.sha256(changed.encode()).hexdigest(), f.astype(">i2").tobytes().hex(), g.astype(">i2").tobytes().hex(), *near] += 1
-        got = fingerprints.fingerprints(df, rows=7).collect()
-        assert Counter((*r[:5], round(r[5], 9), round(r[6], 9)) for r in got) == want
+        for options in ({"rows": 7}, {"rows": 7, "most": 3}):
+            got = fingerprints.fingerprints(df, **options).collect()
+            assert Counter((*r[:5], round(r[5], 9), round(r[6], 9)) for r in got) == want
 
 
 def test_fingerprints_are_homomorphic():
