@@ -31,8 +31,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Workers also hold what earlier stages left, so the cache is kept small here.
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), cache=100_000)
+    # Workers also hold what earlier stages left, so the cache and what is encoded at once are kept small here.
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), cache=100_000, characters=1_000_000)
 
 
 STAGES = [

@@ -25,27 +25,28 @@ BLOCK = 16_384
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, slot long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, kind: str = "byte", end_id: int = 0, cache: int = CACHE) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, kind: str = "byte", end_id: int = 0, cache: int = CACHE, characters: int = 3_000_000) -> DataFrame:
     """Pieces of all documents; a document over capacity is cut so that only its first piece is short.
 
     Null texts count as empty (one piece, the end id). Rows that repeat a
     doc_id are documents of their own. part and slot name a row for good once
-    the pieces are written. A smaller cache of word pieces takes less memory and
-    more time.
+    the pieces are written. A smaller cache of word pieces, and fewer characters
+    encoded at once, take less memory and more time.
     """
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         encoder, part, slot = Encoder.of(tokenizer, kind, cache), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            names = batch.column("doc_id").to_pylist()
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            names, lengths = batch.column("doc_id").to_pylist(), pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
             rows = []
-            for a, b in slices(len(texts), [len(t) for t in texts]):
-                for name, got in zip(names[a:b], encoder.encode(texts[a:b]), strict=True):
+            for a, b in slices(len(names), lengths, characters):
+                texts = [t or "" for t in batch.column("text").slice(a, b - a).to_pylist()]
+                for name, got in zip(names[a:b], encoder.encode(texts), strict=True):
                     ids = got.astype("<u4").tobytes() + end
                     n = len(ids) // 4
                     first = n % capacity or capacity
@@ -56,7 +57,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, kind: str = "by
                         slot += 1
             cols = list(zip(*rows)) if rows else [()] * 7
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            del texts
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "slot"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(cut), PIECES)
