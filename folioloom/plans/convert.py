@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioloom.functions import text as T
 from folioloom.operators import contents, images, layout, lines, numbering
-from folioloom.sources import docx, files
+from folioloom.sources import docx, files, pdf
 
 
 def convert_layout(words: DataFrame, tables: DataFrame, pictures: DataFrame, chars: DataFrame, pages: DataFrame) -> DataFrame:
@@ -24,6 +24,23 @@ def convert_layout(words: DataFrame, tables: DataFrame, pictures: DataFrame, cha
     return lines.route_page_numbers(rows)
 
 
+def convert_pdf(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, tables: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lines of all PDF files at path, and the status of every file there.
+
+    Pages first to last, counted from 1. Table boxes are not found in the
+    files; they may be given, as convert_layout wants them.
+    """
+    found = files.files(spark, path)
+    rows = pdf.layout(found)
+    errors = rows.where("kind = 'error'").select("path", "error")
+    shown = layout.page_range(rows, first, last)
+    if tables is None:
+        tables = spark.createDataFrame([], "doc_id string, page_index int, table_idx int, x0 double, top double, x1 double, bottom double, cells array<array<string>>")
+    chars = pdf.chars(shown)
+    out = convert_layout(pdf.words(chars), tables, pdf.images(shown), chars, pdf.pages(shown))
+    return out, files.status(found.select("path", "doc_type").join(errors, "path", "left"))
+
+
 def convert_docx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Items of all documents at path, and the status of every file there."""
     found = files.files(spark, path)

@@ -1,0 +1,370 @@
+"""Page layouts of PDF files as tables, by the standard library.
+
+One pass over each file gives rows of one schema: pages, characters and image
+boxes. Words are made of characters by Spark. Files of the classic and of the
+compressed object form are read; encrypted ones, and fonts whose characters
+have no known code points, give an error row or no characters. Boxes count
+from the page's top left corner.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+ROWS = "path string, kind string, page_index int, ord int, text string, fontname string, size double, x0 double, x1 double, top double, bottom double, width double, height double, error string"
+#: Gaps within a word and between its characters' heights.
+X_GAP, Y_GAP = 2.0, 5.0
+OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
+TOKEN = re.compile(
+    rb"(?P<skip>[\x00\t\n\f\r ]+|%[^\r\n]*)|(?P<open><<|\[)|(?P<close>>>|\])|<(?P<hex>[0-9A-Fa-f\s]*)>|(?P<text>\()|/(?P<name>[^\x00\t\n\f\r ()<>\[\]{}/%]*)"
+    rb"|(?P<ref>\d+\s+\d+\s+R\b)|(?P<num>[+-]?(?:\d+\.?\d*|\.\d+))|(?P<word>[^\x00\t\n\f\r ()<>\[\]{}/%]+)|(?P<other>.)",
+    re.S,
+)
+ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+ONE = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+
+
+class Name(str):
+    """A name, unlike a text."""
+
+
+class Ref(int):
+    """A reference to an object by number."""
+
+
+class Word(bytes):
+    """An operator or keyword."""
+
+
+def _text(data: bytes, at: int) -> tuple[bytes, int]:
+    """A text in parentheses whose opening one is before at, and the place after it."""
+    out, depth = [], 1
+    for m in re.compile(rb"\\([0-7]{1,3}|\r\n|.)|([()])|([^\\()]+)", re.S).finditer(data, at):
+        code, mark, plain = m.groups()
+        if code is not None:
+            out.append(bytes([int(code, 8) & 255]) if code[:1] in b"01234567" else b"" if code[:1] in b"\r\n" else ESCAPES.get(code, code))
+        elif mark:
+            depth += 1 if mark == b"(" else -1
+            if not depth:
+                return b"".join(out), m.end()
+            out.append(mark)
+        else:
+            out.append(plain)
+    return b"".join(out), len(data)
+
+
+def tokens(data: bytes, at: int = 0) -> Iterator[tuple[object, int]]:
+    """Values and operators from at on, each with the place after it; arrays are lists, dictionaries dicts."""
+    stack: list[list] = []
+    while at < len(data) and (m := TOKEN.match(data, at)):
+        kind, raw, at = m.lastgroup, m.group(), m.end()
+        if kind in ("skip", "other"):
+            continue
+        if kind == "open":
+            stack.append([raw])
+            continue
+        if kind == "close":
+            if not stack:
+                continue
+            head, *items = stack.pop()
+            value = items if head == b"[" else dict(zip(items[::2], items[1::2]))
+        elif kind == "hex":
+            digits = re.sub(rb"\s", b"", m.group("hex")).decode()
+            value = bytes.fromhex(digits + "0" * (len(digits) % 2))
+        elif kind == "text":
+            value, at = _text(data, at)
+        elif kind == "name":
+            value = Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda h: bytes.fromhex(h.group(1).decode()), m.group("name")).decode("latin-1"))
+        elif kind == "ref":
+            value = Ref(raw.split()[0])
+        elif kind == "num":
+            value = float(raw) if b"." in raw else int(raw)
+        else:
+            value = {b"true": True, b"false": False, b"null": None}.get(raw, Word(raw))
+        if stack:
+            stack[-1].append(value)
+        else:
+            yield value, at
+
+
+class File:
+    """Objects of a file, found by scanning it, so a damaged table of offsets does no harm."""
+
+    def __init__(self, data: bytes):
+        if b"%PDF-" not in data[:1024]:
+            raise ValueError("this is no PDF file")
+        self.objects: dict[int, object] = {}
+        self.streams: dict[int, bytes] = {}
+        if re.search(rb"/Encrypt\b", data):
+            raise ValueError("the file is encrypted")
+        at = 0
+        while m := OBJECT.search(data, at):
+            number, at = int(m.group(1)), m.end()
+            value, end = next(tokens(data, at), (None, at))
+            self.objects[number] = value
+            opened = re.compile(rb"\s*stream\r?\n?").match(data, end) if isinstance(value, dict) else None
+            at = end
+            if opened:
+                size = value.get("Length")
+                stop = opened.end() + size if type(size) is int else -1
+                if stop < 0 or data[stop : stop + 20].strip()[:9] != b"endstream":
+                    stop = data.find(b"endstream", opened.end())
+                    stop = len(data) if stop < 0 else stop
+                self.streams[number], at = data[opened.end() : stop], stop
+        for number, value in list(self.objects.items()):
+            if isinstance(value, dict) and value.get("Type") == "ObjStm":
+                body, first = self.stream(Ref(number)), self.get(value["First"])
+                heads = [int(x) for x in body[:first].split()]
+                for own, offset in zip(heads[::2], heads[1::2]):
+                    self.objects.setdefault(own, next(tokens(body, first + offset), (None, 0))[0])
+
+    def get(self, value):
+        for _ in range(50):
+            if not isinstance(value, Ref):
+                break
+            value = self.objects.get(int(value))
+        return value
+
+    def stream(self, ref) -> bytes:
+        """Decoded content; what an unknown filter hides is empty."""
+        head, data = self.get(ref), self.streams.get(int(ref), b"")
+        filters = self.get(head.get("Filter")) or []
+        for name in [filters] if isinstance(filters, str) else filters:
+            if name not in ("FlateDecode", "Fl"):
+                return b""
+            data = zlib.decompressobj().decompress(data)
+        return data
+
+    def pages(self) -> list[dict]:
+        """Leaves of the page tree, in order, with what they inherit."""
+        roots = [v for v in self.objects.values() if isinstance(v, dict) and v.get("Type") == "Catalog"]
+        out, seen = [], set()
+        todo = [(roots[-1].get("Pages"), {})] if roots else []
+        while todo:
+            ref, passed = todo.pop()
+            node = self.get(ref)
+            if not isinstance(node, dict) or (isinstance(ref, Ref) and int(ref) in seen):
+                continue
+            if isinstance(ref, Ref):
+                seen.add(int(ref))
+            own = passed | {k: node[k] for k in ("MediaBox", "Resources") if k in node}
+            if "Kids" in node:
+                todo += [(kid, own) for kid in reversed(self.get(node["Kids"]) or [])]
+            else:
+                out.append(own | node)
+        return out
+
+
+def _times(a: tuple, b: tuple) -> tuple:
+    return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
+
+
+class Font:
+    """Code points and widths of a font's codes."""
+
+    def __init__(self, file: File, head: dict):
+        self.name = str(head.get("BaseFont") or "")
+        self.wide = head.get("Subtype") == "Type0"
+        self.points: dict[int, str] = {}
+        self.widths: dict[int, float] = {}
+        self.usual = 500.0
+        if isinstance(head.get("ToUnicode"), Ref):
+            self._mapped([v for v, _ in tokens(file.stream(head["ToUnicode"]))])
+        if self.wide:
+            below = file.get((file.get(head.get("DescendantFonts")) or [{}])[0]) or {}
+            self.usual, w = float(below.get("DW", 1000)), file.get(below.get("W")) or []
+            while len(w) > 1:
+                if isinstance(second := file.get(w[1]), list):
+                    self.widths |= {w[0] + k: file.get(x) for k, x in enumerate(second)}
+                    w = w[2:]
+                else:
+                    self.widths |= dict.fromkeys(range(w[0], second + 1), w[2]) if len(w) > 2 else {}
+                    w = w[3:]
+        else:
+            first = file.get(head.get("FirstChar")) or 0
+            self.widths = {first + k: file.get(x) for k, x in enumerate(file.get(head.get("Widths")) or [])}
+
+    def _mapped(self, found: list) -> None:
+        """Fills points from a map's bfchar and bfrange lists."""
+        start, say = 0, lambda b: b.decode("utf-16-be", "replace")
+        for k, x in enumerate(found):
+            if x in (b"beginbfchar", b"beginbfrange") and isinstance(x, Word):
+                start = k + 1
+            elif x == b"endbfchar" and isinstance(x, Word):
+                self.points |= {int.from_bytes(a): say(b) for a, b in zip(found[start:k:2], found[start + 1 : k : 2])}
+            elif x == b"endbfrange" and isinstance(x, Word):
+                for a, b, c in zip(found[start:k:3], found[start + 1 : k : 3], found[start + 2 : k : 3]):
+                    low, high = int.from_bytes(a), int.from_bytes(b)
+                    for n in range(low, min(high, low + 65535) + 1):
+                        if not isinstance(c, list):
+                            self.points[n] = say((int.from_bytes(c) + n - low).to_bytes(len(c)))
+                        elif n - low < len(c):
+                            self.points[n] = say(c[n - low])
+
+    def codes(self, raw: bytes) -> Iterator[tuple[int, str, float]]:
+        step = 2 if self.wide else 1
+        for k in range(0, len(raw) - step + 1, step):
+            n = int.from_bytes(raw[k : k + step])
+            plain = "" if self.wide else bytes([n]).decode("cp1252", "replace")
+            yield n, self.points.get(n, plain), float(self.widths.get(n) or self.usual) / 1000
+
+
+def read_page(file: File, page: dict) -> tuple[list[dict], float, float]:
+    """Characters and images of a page, its width and height."""
+    box = [float(file.get(x)) for x in file.get(page.get("MediaBox")) or (0, 0, 612, 792)]
+    left, low, right, high = box
+    content = page.get("Contents")
+    parts = [content] if isinstance(content, Ref) and not isinstance(file.get(content), list) else file.get(content) or []
+    rows: list[dict] = []
+    fonts: dict[int, Font] = {}
+
+    def put(kind: str, corners, **more):
+        xs, ys = [x for x, _ in corners], [y for _, y in corners]
+        rows.append({"kind": kind, "x0": min(xs) - left, "x1": max(xs) - left, "top": high - max(ys), "bottom": high - min(ys), **more})
+
+    def run(data: bytes, resources: dict, base: tuple, depth: int) -> None:
+        held, args = [], []
+        ctm, tm, tlm = base, ONE, ONE
+        font, size, char, word, scale, lead, rise = None, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0
+
+        def show(raw: bytes) -> None:
+            nonlocal tm
+            for code, text, width in font.codes(raw) if font else ():
+                full = _times(_times((size * scale, 0.0, 0.0, size, 0.0, rise), tm), ctm)
+                spot = lambda x, y: (x * full[0] + y * full[2] + full[4], x * full[1] + y * full[3] + full[5])
+                put("char", [spot(x, y) for x in (0, width) for y in (-0.2, 0.8)], text=text, fontname=font.name, size=(full[2] ** 2 + full[3] ** 2) ** 0.5)
+                step = (width * size + char + (word if code == 32 and not font.wide else 0)) * scale
+                tm = _times((1.0, 0.0, 0.0, 1.0, step, 0.0), tm)
+
+        def line(x: float, y: float) -> None:
+            nonlocal tm, tlm
+            tm = tlm = _times((1.0, 0.0, 0.0, 1.0, x, y), tlm)
+
+        for value, _ in tokens(data):
+            if not isinstance(value, Word):
+                args.append(value)
+                continue
+            a, args = args, []
+            match bytes(value), a:
+                case b"q", _:
+                    held.append((ctm, font, size, char, word, scale, lead, rise))
+                case b"Q", _ if held:
+                    ctm, font, size, char, word, scale, lead, rise = held.pop()
+                case b"cm", [*_] if len(a) == 6:
+                    ctm = _times(tuple(map(float, a)), ctm)
+                case b"BT", _:
+                    tm = tlm = ONE
+                case b"Tf", [name, n]:
+                    ref = (file.get(resources.get("Font")) or {}).get(name)
+                    head, size = file.get(ref), float(n)
+                    font = fonts.setdefault(id(head), Font(file, head)) if isinstance(head, dict) else None
+                case b"Tc", [n]:
+                    char = float(n)
+                case b"Tw", [n]:
+                    word = float(n)
+                case b"Tz", [n]:
+                    scale = n / 100
+                case b"TL", [n]:
+                    lead = float(n)
+                case b"Ts", [n]:
+                    rise = float(n)
+                case b"Td", [x, y]:
+                    line(x, y)
+                case b"TD", [x, y]:
+                    lead = -float(y)
+                    line(x, y)
+                case b"Tm", [*_] if len(a) == 6:
+                    tm = tlm = tuple(map(float, a))
+                case b"T*", _:
+                    line(0, -lead)
+                case b"Tj", [bytes() as raw]:
+                    show(raw)
+                case b"'", [bytes() as raw]:
+                    line(0, -lead)
+                    show(raw)
+                case b'"', [w, c, bytes() as raw]:
+                    word, char = float(w), float(c)
+                    line(0, -lead)
+                    show(raw)
+                case b"TJ", [list() as items]:
+                    for x in items:
+                        if isinstance(x, bytes):
+                            show(x)
+                        elif isinstance(x, (int, float)):
+                            tm = _times((1.0, 0.0, 0.0, 1.0, -x / 1000 * size * scale, 0.0), tm)
+                case b"Do", [name]:
+                    ref = (file.get(resources.get("XObject")) or {}).get(name)
+                    head = file.get(ref)
+                    if isinstance(head, dict) and head.get("Subtype") == "Image":
+                        put("image", [(x * ctm[0] + y * ctm[2] + ctm[4], x * ctm[1] + y * ctm[3] + ctm[5]) for x in (0, 1) for y in (0, 1)])
+                    elif isinstance(head, dict) and head.get("Subtype") == "Form" and depth < 8:
+                        matrix = tuple(map(float, file.get(head.get("Matrix")) or ONE))
+                        run(file.stream(ref), file.get(head.get("Resources")) or resources, _times(matrix, ctm), depth + 1)
+
+    run(b"\n".join(file.stream(p) for p in parts if isinstance(p, Ref)), file.get(page.get("Resources")) or {}, ONE, 0)
+    return rows, right - left, high - low
+
+
+def read_layout(content: bytes) -> list[dict]:
+    """Rows of one file; a file without pages is an error."""
+    file, out = File(content), []
+    for k, page in enumerate(file.pages()):
+        rows, width, height = read_page(file, page)
+        out.append({"kind": "page", "page_index": k, "width": width, "height": height})
+        out += [r | {"page_index": k, "ord": n} for n, r in enumerate(rows)]
+    if not out:
+        raise ValueError("the file has no pages")
+    return out
+
+
+def layout(found: DataFrame) -> DataFrame:
+    """Rows of all PDF files of sources.files.files; a file that cannot be read gives one row of kind error."""
+    names = [c.split()[0] for c in ROWS.split(", ")]
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                try:
+                    rows = read_layout(bytes(content))
+                except Exception as e:  # noqa: BLE001  any broken file
+                    rows = [{"kind": "error", "error": f"{type(e).__name__}: {e}"}]
+                yield pd.DataFrame([{n: None for n in names} | r | {"path": path} for r in rows], columns=names).astype(object)
+
+    return found.where("doc_type = 'pdf'").select("path", "content").mapInPandas(scan, ROWS)
+
+
+def pages(rows: DataFrame) -> DataFrame:
+    return rows.where("kind = 'page'").select(F.col("path").alias("doc_id"), "page_index", "width", "height")
+
+
+def page_counts(rows: DataFrame) -> DataFrame:
+    return pages(rows).groupBy("doc_id").agg(F.count("*").alias("n_pages"))
+
+
+def chars(rows: DataFrame) -> DataFrame:
+    return rows.where("kind = 'char'").select(F.col("path").alias("doc_id"), "page_index", "ord", "text", "fontname", "size", "x0", "x1", "top", "bottom")
+
+
+def images(rows: DataFrame) -> DataFrame:
+    own = F.row_number().over(Window.partitionBy("path", "page_index").orderBy("ord")) - 1
+    return rows.where("kind = 'image'").select(F.col("path").alias("doc_id"), "page_index", own.alias("img_idx"), "x0", "top", "x1", "bottom")
+
+
+def words(found_chars: DataFrame, x_gap: float = X_GAP, y_gap: float = Y_GAP) -> DataFrame:
+    """(doc_id, page_index, ord, text, x0, x1, top, bottom): runs of characters as they are drawn, divided by blanks, gaps and changes of height."""
+    page = Window.partitionBy("doc_id", "page_index").orderBy("ord")
+    blank = F.col("text").rlike(r"(?U)^\s*$")
+    last = lambda c: F.lag(c).over(page)
+    near = (F.abs(F.col("top") - last("top")) <= y_gap) & (F.col("x0") - last("x1") <= x_gap) & (F.col("x0") >= last("x0"))
+    c = found_chars.withColumn("blank", blank).withColumn("cut", (~F.coalesce(near, F.lit(False)) | F.col("blank")).cast("int"))
+    c = c.withColumn("run", F.sum("cut").over(page)).where("not blank")
+    listed = c.groupBy("doc_id", "page_index", "run").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("c"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.min("ord").alias("ord")
+    )
+    return listed.select("doc_id", "page_index", "ord", F.array_join(F.transform("c", lambda v: v["text"]), "").alias("text"), "x0", "x1", "top", "bottom")
