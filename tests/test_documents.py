@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import asyncio
 import io
 import zipfile
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioloom.functions import text as T
 from folioloom.operators import contents
-from folioloom.plans import convert
+from folioloom.plans import convert, documents
 from folioloom.sources import docx, files
 from folioloom.streaming import landing
 
@@ -94,3 +95,23 @@ def test_landing(spark, folder, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("out"))
     landing.convert_arriving(landing.arriving(spark, str(folder)), lambda df: docx.items(docx.body(df)), out + "/rows", out + "/check").awaitTermination()
     assert spark.read.parquet(out + "/rows").count() > 5
+
+
+def test_convert_document(spark, folder, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("one"))
+    documents.convert_document(spark, f"{folder}/two.docx", out)
+    text = spark.read.text(out + "/text", recursiveFileLookup=True)
+    assert sorted(r["value"] for r in text.collect()) == ["Intro1", "More4", "body"]
+    assert sorted(r["value"] for r in spark.read.text(out + "/index", recursiveFileLookup=True).collect()) == ["0", "1", "2"]
+    with pytest.raises(FileNotFoundError):
+        documents.convert_document(spark, f"{folder}/missing.docx", out)
+    with pytest.raises(ValueError, match="unsupported"):
+        documents.convert_document(spark, f"{folder}/x.txt", out)
+    with pytest.raises(RuntimeError):
+        documents.convert_document(spark, f"{folder}/bad.docx", out)
+
+    async def both():
+        return await asyncio.gather(*(documents.aconvert_document(spark, f"{folder}/{n}.docx", f"{out}/{n}") for n in ("two", "bad")))
+
+    good, bad = asyncio.run(both())
+    assert good["success"] and good["output"].endswith("/two") and not bad["success"] and "BadZipFile" in bad["error"]
