@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,11 +27,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 BASE = ("assign", "access", "hex")
-#: Weak candidates: named identifiers, named or bare secrets, addresses.
-IDENTIFIER = re.compile(r"""\b(?:user(?:_?name)?|login|account|client_?id|(?:aws_)?access_?key_?id)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9+/_.@=-]{3,})""", re.I | re.A)
-WEAK_SECRET = re.compile(r"""\b(?:pwd|pass|passphrase|auth|credential|client_?secret|(?:private|secret)_?(?:access_?)?key)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9+/_.=-]{6,})""", re.I | re.A)
-BARE_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,128}(?![A-Za-z0-9+/_-])")
-ENDPOINT = re.compile(r"""\b(?:https?|ftp|ssh|jdbc:\w+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+|\b(?:host|server|endpoint)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9.-]+(?::[0-9]+)?)""", re.I | re.A)
+#: Weak candidates: named identifiers, named or bare secrets, addresses. A name may follow an underscore, as in DB_USER.
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:_?name)?|login|account|client_?id|(?:aws_)?access_?key_?id)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9+/_.@=-]{3,})""", re.I | re.A)
+WEAK_SECRET = re.compile(r"""(?<![A-Za-z0-9])(?:pwd|pass|passphrase|auth|credential|client_?secret|(?:private|secret)_?(?:access_?)?key)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9+/_.=-]{6,})""", re.I | re.A)
+#: A whole run of such characters; bare_spans() tells which runs are secrets.
+BARE_SECRET = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+CLASSES = tuple(map(re.compile, ("[0-9]", "[a-z]", "[A-Z]")))
+ENDPOINT = re.compile(r"""(?<![A-Za-z0-9])(?:https?|ftp|ssh|jdbc:\w+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+|(?<![A-Za-z0-9])(?:host|server|endpoint)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9.-]+(?::[0-9]+)?)""", re.I | re.A)
 REACH = 200
 #: Bits a character that a bare secret needs.
 ENTROPY = 3.5
@@ -60,11 +63,22 @@ def weak_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def bare_spans(text: str, named: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Runs of any length with digits, both cases and enough entropy, but not inside a named secret (by start), which says the same."""
+    found = []
+    for m in BARE_SECRET.finditer(text):
+        if all(c.search(m.group()) for c in CLASSES) and entropy(m.group()) >= ENTROPY:
+            i = bisect_right(named, m.start(), key=lambda s: s[0]) - 1
+            if i < 0 or named[i][1] < m.end():
+                found.append(("weak_secret", *m.span()))
+    return found
+
+
 def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int = REACH) -> list[tuple[str, int, int]]:
     """Weak candidates that complementary parts in their scope confirm."""
     weak = weak_spans(text)
     if any(k == "weak_id" for k, _, _ in weak) or any(k == "access" for k, _, _ in base):
-        weak += [("weak_secret", m.start(), m.end()) for m in BARE_SECRET.finditer(text) if entropy(m.group()) >= ENTROPY]
+        weak += bare_spans(text, [(s, e) for k, s, e in weak if k == "weak_secret"])
     if not weak:
         return []
     roles = {"weak_id": "id", "access": "id", "weak_secret": "secret", "assign": "secret", "hex": "secret", "endpoint": "endpoint"}
