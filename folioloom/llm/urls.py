@@ -2,8 +2,9 @@
 
 Rules label the urls that they cover. From a bounded sample of those, trees are
 boosted on lexical features: lengths, depth, digit ratio, entropy, parameter
-counts and statistics of host suffixes. The trees become one SQL expression,
-which judges every other url inside Spark's generated code.
+counts and statistics of host suffixes, which are taken from all labelled urls.
+The trees become one SQL expression, which judges every other url inside Spark's
+generated code.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioloom.llm.common import written
+from folioloom.llm.common import joinable, written
 
 #: Rules as (verdict, host/path); a rule fits its host and all subdomains.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Labelled urls that the trees are fitted on, at most; boosting parameters.
 SAMPLE, TREES, DEPTH, RATE, CUTS, LEAST = 20_000, 24, 3, 0.3, 24, 20
-FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digits", "entropy", "parameters", "hyphens", "suffix_rate", "suffix_count")
+FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digits", "entropy", "parameters", "hyphens", "suffix_rate", "suffix_share")
 #: Probability of "block" from which a url is blocked.
 THRESHOLD = 0.5
 
@@ -121,13 +122,16 @@ def verdicts(pages: DataFrame, rules=RULES, sample: int = SAMPLE, threshold: flo
     rows = written(rows, "urls")
     labelled = rows.where("ruled is not null").orderBy("_order", "page_id").limit(sample).withColumn("y", (F.col("ruled") == "block").cast("double"))
     labelled = written(labelled, "labelled")  # sample rows at most
-    totals = labelled.agg(F.count("y"), F.sum("y")).first()
-    rate = ((totals[1] or 0.0) + 1) / (totals[0] + 2)
-    suffixes = written(labelled.groupBy("suffix").agg(F.count("*").cast("double").alias("suffix_count"), ((F.sum("y") + 10 * rate) / (F.count("*") + 10)).alias("suffix_rate")), "suffixes")
-
-    def with_suffix(df: DataFrame) -> DataFrame:  # no more suffixes than sample rows
-        joined = df.join(F.broadcast(suffixes), "suffix", "left")
-        return joined.withColumn("suffix_count", F.coalesce("suffix_count", F.lit(0.0))).withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(rate)))
+    counts = rows.where("ruled is not null").groupBy("suffix").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("blocked"))
+    counts = written(counts, "suffixes")
+    totals = counts.agg(F.sum("n"), F.sum("blocked")).first()
+    ruled, rate = totals[0] or 0, ((totals[1] or 0) + 1) / ((totals[0] or 0) + 2)
+    share = (F.col("n") / F.lit(float(max(ruled, 1)))).alias("suffix_share")
+    suffixes = joinable(counts.select("suffix", share, ((F.col("blocked") + 10 * rate) / (F.col("n") + 10)).alias("suffix_rate")))
+
+    def with_suffix(df: DataFrame) -> DataFrame:
+        joined = df.join(suffixes, "suffix", "left")
+        return joined.withColumn("suffix_share", F.coalesce("suffix_share", F.lit(0.0))).withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(rate)))
 
     alike = with_suffix(labelled).groupBy(*FEATURES, "y").agg(F.count("*").alias("times")).collect()
     alike.sort(key=tuple)

@@ -186,6 +186,23 @@ def test_urls(spark, sf_dir):
         assert all(r["verdict"] in ("allow", "block") for r in got)
 
 
+URL_RULES = (("block", "net/b/"), ("allow", "net/a/"))
+
+
+def judged_by_suffix(spark, ruled, free, **options):
+    """Share of the urls without a rule on hosts free that get the verdict of their suffix's ruled urls; even hosts are blocked."""
+    pages = spark.createDataFrame(list(enumerate([*ruled, *(f"http://h{k}.net/c/{i}" for i, k in enumerate(free, 1000))])), "page_id long, url string")
+    got = [(int(r["host"][1:-4]), r["verdict"]) for r in urls.verdicts(pages, rules=URL_RULES, **options).collect() if r["rule"] is None]
+    assert len(got) == len(free)
+    return sum(v == ("allow" if k % 2 else "block") for k, v in got) / len(got)
+
+
+def test_suffix_statistics_are_of_all_urls(spark):
+    hosts = range(1000, 1400)
+    ruled = [f"http://h{k}.net/{'ba'[k % 2]}/{i}" for k in hosts for i in range(1000, 1010)]
+    assert judged_by_suffix(spark, ruled, hosts, sample=200) > 0.95
+
+
 def test_trees_learn(spark):
     rng = np.random.default_rng(2)
     x = rng.integers(0, 40, (600, len(urls.FEATURES))).astype(float)
