@@ -1,6 +1,6 @@
 """URL filters: rules, and gradient-boosted trees for what no rule covers.
 
-Rules label the urls that they cover. From a bounded sample of those, trees are
+Rules label the urls that they cover. On a bounded sample of the distinct ones, trees are
 boosted on lexical features: lengths, depth, digit ratio, entropy, parameter
 counts and statistics of host suffixes, which are taken from all labelled urls.
 The trees become one SQL expression, which judges every other url inside Spark's
@@ -19,7 +19,7 @@ from folioloom.llm.common import joinable, written
 
 #: Rules as (verdict, host/path); a rule fits its host and all subdomains.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Labelled urls that the trees are fitted on, at most; boosting parameters.
+#: Distinct labelled urls that the trees are fitted on, at most; boosting parameters.
 SAMPLE, TREES, DEPTH, RATE, CUTS, LEAST = 20_000, 24, 3, 0.3, 24, 20
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digits", "entropy", "parameters", "hyphens", "suffix_rate", "suffix_share")
 #: Probability of "block" from which a url is blocked.
@@ -118,9 +118,12 @@ def verdicts(pages: DataFrame, rules=RULES, sample: int = SAMPLE, threshold: flo
     url = F.coalesce(F.col("url"), F.lit(""))
     rows = pages.select("page_id", url.alias("url"), host(url).alias("host"), path(url).alias("path"))
     rows = rows.withColumn("found", rule(F.col("host"), F.col("path"), rules))
-    rows = rows.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("ruled"), F.substring_index("host", ".", -2).alias("suffix"), *(c.cast("double").alias(k) for k, c in lexical(F.col("url"), F.col("host"), F.col("path")).items()), F.xxhash64("url").alias("_order"))
+    features = lexical(F.col("url"), F.col("host"), F.col("path"))
+    rows = rows.select("page_id", "url", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("ruled"), F.substring_index("host", ".", -2).alias("suffix"), *(c.cast("double").alias(k) for k, c in features.items()), F.xxhash64("url").alias("_order"))
     rows = written(rows, "urls")
-    labelled = rows.where("ruled is not null").orderBy("_order", "page_id").limit(sample).withColumn("y", (F.col("ruled") == "block").cast("double"))
+    # A url's copies have the same features, so it stands once and counts as often as it comes.
+    distinct = rows.where("ruled is not null").groupBy("url").agg(F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("_order", "ruled", "suffix", *features)))
+    labelled = distinct.orderBy("_order", "url").limit(sample).withColumn("y", (F.col("ruled") == "block").cast("double"))
     labelled = written(labelled, "labelled")  # sample rows at most
     counts = rows.where("ruled is not null").groupBy("suffix").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     counts = written(counts, "suffixes")
@@ -133,7 +136,7 @@ def verdicts(pages: DataFrame, rules=RULES, sample: int = SAMPLE, threshold: flo
         joined = df.join(suffixes, "suffix", "left")
         return joined.withColumn("suffix_share", F.coalesce("suffix_share", F.lit(0.0))).withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(rate)))
 
-    alike = with_suffix(labelled).groupBy(*FEATURES, "y").agg(F.count("*").alias("times")).collect()
+    alike = with_suffix(labelled).groupBy(*FEATURES, "y").agg(F.sum("times").alias("times")).collect()
     alike.sort(key=tuple)
     held = np.array([tuple(r) for r in alike], float).reshape(-1, len(FEATURES) + 2)
     start, trees = boost(held[:, : len(FEATURES)], held[:, -2], held[:, -1])

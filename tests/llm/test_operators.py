@@ -203,6 +203,15 @@ def test_suffix_statistics_are_of_all_urls(spark):
     assert judged_by_suffix(spark, ruled, hosts, sample=200) > 0.95
 
 
+def test_copies_of_urls_do_not_fill_the_sample(spark):
+    hosts = range(1000, 1040)
+    once = [f"http://h{k}.net/{'ba'[k % 2]}/1000" for k in hosts]
+    assert judged_by_suffix(spark, once * 100, hosts, sample=100) > 0.95
+    heavy = [f"http://h{k}.net/{'ba'[k % 2]}/{i}" for k in hosts for i in range(1000, 1020)]
+    for first in ("http://h1000.net/b/9999", "http://h1001.net/a/9999"):
+        assert judged_by_suffix(spark, heavy + [first] * 400, hosts, sample=900) > 0.95
+
+
 def test_trees_learn(spark):
     rng = np.random.default_rng(2)
     x = rng.integers(0, 40, (600, len(urls.FEATURES))).astype(float)
