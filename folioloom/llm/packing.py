@@ -90,20 +90,19 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, round
 
     Each step takes from the emptier bin and fills the fuller one, so the sum
     rises strictly and the search ends; ``rounds`` bounds the passes. No more
-    bins can empty than there are beyond the least number, so only about as
-    many give; with none beyond it nothing is left to gain.
+    bins can empty than there are beyond the least number, so about as many
+    give first. If that changes nothing, or in the last round, the other
+    underfull bins give too; with none beyond it nothing is left to gain.
     """
     least = -(-sum(lengths) // capacity)
     fill = [sum(lengths[i] for i in b) for b in bins]
     under = [k for k in range(len(bins)) if fill[k] < capacity]
-    for _ in range(rounds):
-        changed, beyond = False, sum(1 for b in bins if b) - least
-        if beyond <= 0:
-            break
-        under = sorted((k for k in under if 0 < fill[k] < capacity), key=lambda k: (fill[k], k))
-        for a in under[: 2 * beyond + 2]:
+
+    def give(givers: list[int]) -> bool:
+        changed = False
+        for a in givers:
             for b in reversed(under):
-                if a == b or not bins[a] or fill[b] < fill[a]:
+                if a == b or not bins[a] or fill[b] < fill[a] or fill[b] == capacity:
                     continue
                 while bins[a] and (step := _step(bins[a], bins[b], lengths, capacity - fill[b])):
                     out, back = step
@@ -113,6 +112,22 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, round
                     fill[a], fill[b], changed = fill[a] - gain, fill[b] + gain, True
                     if fill[b] == capacity:
                         break
+        return changed
+
+    for turn in range(rounds):
+        beyond = sum(1 for b in bins if b) - least
+        if beyond <= 0:
+            break
+        under = sorted((k for k in under if 0 < fill[k] < capacity), key=lambda k: (fill[k], k))
+        first = 2 * beyond + 2
+        changed = give(under[:first])
+        if not changed or turn == rounds - 1:
+            beyond = sum(1 for b in bins if b) - least
+            for a in under[first:]:
+                if beyond <= 0:
+                    break
+                changed = give([a]) or changed
+                beyond -= not bins[a]
         if not changed:
             break
     return [b for b in bins if b]

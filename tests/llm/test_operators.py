@@ -395,6 +395,13 @@ def test_local_search_empties_bins():
     assert len(packing.local_search([[0, 1], [2, 3], [4]], [6, 2, 5, 4, 5], 11)) == 2
 
 
+def test_local_search_goes_on_to_fuller_bins():
+    lengths = [45, 35, 59, 41, 34, 59, 48, 50, 49, 20, 25, 40, 24, 23, 32, 31, 35, 60, 65, 33, 21, 63, 56, 52, 66, 57, 28, 61, 38, 24, 51, 51]
+    got = packing.local_search(packing.best_fit(lengths, 100), lengths, 100)
+    assert sorted(i for b in got for i in b) == list(range(32)) and all(sum(lengths[i] for i in b) <= 100 for b in got)
+    assert len(got) == 14
+
+
 def test_fingerprints(spark, sf_dir, odd):
     for df in tables(spark, sf_dir, odd):
         rows = by_id([{"doc_id": r["doc_id"], "text": r["text"] or ""} for r in df.select("doc_id", "text").collect()])
