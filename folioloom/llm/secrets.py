@@ -5,7 +5,9 @@ password-like or high-entropy string, a server address) say little alone. They
 are intervals with a role each, joined by position within scopes: stretches
 that no gap of more than ``reach`` characters or blank line divides. They are
 reported only where complementary roles meet in a scope: a secret with an
-identifier. A server address that lies in such a scope is reported with them.
+identifier, or a named weak secret with a server address. A server address that
+lies in such a scope is reported with them. The user:password part of an address
+is an identifier and a named secret.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 BASE = ("assign", "access", "hex")
 #: Weak candidates: named identifiers, named or bare secrets, addresses. A name may follow an underscore, as in DB_USER.
-IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:_?name)?|login|account|client_?id|(?:aws_)?access_?key_?id)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9+/_.@=-]{3,})""", re.I | re.A)
-WEAK_SECRET = re.compile(r"""(?<![A-Za-z0-9])(?:pwd|pass|passphrase|auth|credential|client_?secret|(?:private|secret)_?(?:access_?)?key)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9+/_.=-]{6,})""", re.I | re.A)
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:_?name)?|login|account|client_?id|(?:aws_)?access_?key_?id)["']?[ \t]*[:=][ \t]*["']?([^\s"'<>,;:&|(){}\[\]]{3,})""", re.I | re.A)
+WEAK_SECRET = re.compile(r"""(?<![A-Za-z0-9])(?:pwd|pass|passphrase|auth|credential|client_?secret|(?:private|secret)_?(?:access_?)?key)["']?[ \t]*[:=][ \t]*["']?([^\s"'<>,;]{6,})""", re.I | re.A)
 #: A whole run of such characters; bare_spans() tells which runs are secrets.
 BARE_SECRET = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 CLASSES = tuple(map(re.compile, ("[0-9]", "[a-z]", "[A-Z]")))
 ENDPOINT = re.compile(r"""(?<![A-Za-z0-9])(?:https?|ftp|ssh|jdbc:\w+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+|(?<![A-Za-z0-9])(?:host|server|endpoint)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9.-]+(?::[0-9]+)?)""", re.I | re.A)
+#: The user:password part of an address.
+LOGIN = re.compile(r"://([^:/?#]*):([^/?#]+)@")
 REACH = 200
 #: Bits a character that a bare secret needs.
 ENTROPY = 3.5
@@ -59,7 +63,10 @@ def weak_spans(text: str) -> list[tuple[str, int, int]]:
     if HINT.search(text):
         found += [("weak_id", m.start(1), m.end(1)) for m in IDENTIFIER.finditer(text)]
         found += [("weak_secret", m.start(1), m.end(1)) for m in WEAK_SECRET.finditer(text)]
-        found += [("endpoint", *(m.span(1) if m.group(1) else m.span())) for m in ENDPOINT.finditer(text)]
+        for m in ENDPOINT.finditer(text):
+            found.append(("endpoint", *(m.span(1) if m.group(1) else m.span())))
+            if login := LOGIN.search(m.group()):
+                found += [(k, m.start() + s, m.start() + e) for k, (s, e) in (("weak_id", login.span(1)), ("weak_secret", login.span(2))) if s < e]
     return found
 
 
@@ -77,8 +84,9 @@ def bare_spans(text: str, named: list[tuple[int, int]]) -> list[tuple[str, int,
 def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int = REACH) -> list[tuple[str, int, int]]:
     """Weak candidates that complementary parts in their scope confirm."""
     weak = weak_spans(text)
+    named = {(s, e) for k, s, e in weak if k == "weak_secret"}
     if any(k == "weak_id" for k, _, _ in weak) or any(k == "access" for k, _, _ in base):
-        weak += bare_spans(text, [(s, e) for k, s, e in weak if k == "weak_secret"])
+        weak += bare_spans(text, sorted(named))
     if not weak:
         return []
     roles = {"weak_id": "id", "access": "id", "weak_secret": "secret", "assign": "secret", "hex": "secret", "endpoint": "endpoint"}
@@ -88,7 +96,7 @@ def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int = REACH
 
     def settle():
         met = {roles[k] for _, _, k in scope}
-        if {"id", "secret"} <= met:
+        if {"id", "secret"} <= met or "endpoint" in met and any(k == "weak_secret" and (s, e) in named for s, e, k in scope):
             out.extend((k, s, e) for s, e, k in scope if k not in BASE)
 
     for s, e, k in every:

@@ -466,6 +466,15 @@ def test_parts_may_follow_prefixes_and_equal_signs():
     assert spans(f"{key} " + "aB1" * 60) == [("access", key)]
 
 
+def test_endpoints_confirm_named_secrets():
+    spans = lambda t: [(k, t[s:e]) for k, s, e in secrets.scan_text(t)[1]]
+    assert spans("host=db.example.com pwd=abcdef99") == [("endpoint", "db.example.com"), ("weak_secret", "abcdef99")]
+    url = "postgres://admin:S3cretPw@db/prod"
+    assert spans(url) == [("endpoint", url), ("weak_id", "admin"), ("weak_secret", "S3cretPw")] and secrets.redact_text(f"at {url} now") == "at [secret] now"
+    assert spans("user=bob pwd=P@ssw0rd!") == [("weak_id", "bob"), ("weak_secret", "P@ssw0rd!")]
+    assert spans("see http://h.example.com:8080/a@b and wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY") == []
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
