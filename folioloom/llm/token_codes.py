@@ -7,7 +7,7 @@ level tells which ids go on, and a rank directory (ones before each block of
 one byte and one bitmap block per level; no block is decoded.
 
 Files: Parquet as the container, one row a segment (whole documents, about a
-million tokens), the codes in one uncompressed binary column, so that Spark's
+million tokens; a longer document alone), the codes in one uncompressed binary column, so that Spark's
 writers commit them and a lost executor costs only its own tasks.
 """
 
@@ -96,51 +96,60 @@ class Codes:
 
 
 def token_segments(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, segment: int = SEGMENT) -> DataFrame:
-    """Segments of all documents in ascending doc_id order (null first, ties by text).
+    """Segments of all documents in ascending doc_id order (null first; ties by the text's first 64 characters, then by its hash).
 
-    Null texts count as empty; each document ends in ``end_id``. Other columns
-    are ignored. An empty table gives no segment.
+    Null texts count as empty; each document ends in ``end_id``. A special
+    token's marker in a text is that token, as the library has it. Very long
+    texts are encoded in parts. Rows that repeat a doc_id are documents of their
+    own. Other columns are ignored. An empty table gives no segment.
     """
 
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         encoder, shard, k = Encoder.of(tokenizer, kind), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4")
         ids: list[np.ndarray] = []
-        docs_in: list[int] = []
-        ends: list[int] = []
+        names: list = []
+        ends: list[np.ndarray] = []
         size = 0
 
         def flush():
             nonlocal size, k
             row = pa.record_batch({
                 "shard": pa.array([shard], pa.int32()), "segment": pa.array([k], pa.int32()), "n_tokens": pa.array([size], pa.int64()),
-                "doc_ids": pa.array([docs_in], pa.list_(pa.int64())), "ends": pa.array([ends], pa.list_(pa.int64())),
+                "doc_ids": pa.array([[x for n in names for x in n]], pa.list_(pa.int64())), "ends": pa.array([np.concatenate(ends)], pa.list_(pa.int64())),
                 "codes": pa.array([pack_codes(np.concatenate(ids))], pa.binary()),
             })
-            ids.clear(), docs_in.clear(), ends.clear()
+            ids.clear(), names.clear(), ends.clear()
             size, k = 0, k + 1
             return row
 
         for batch in batches:
-            texts, names = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            texts = [t or "" for t in texts]
-            for a, b in slices(len(texts), [len(t) for t in texts]):
-                for name, got in zip(names[a:b], encoder.encode(texts[a:b]), strict=True):
-                    own = got.astype("<u4")
-                    if size and size + len(own) >= segment:
-                        yield flush()
-                    ids.extend((own, end))
-                    size += len(own) + 1
-                    docs_in.append(name)
-                    ends.append(size)
-        if docs_in:
+            texts, found = batch.column("text"), batch.column("doc_id").to_pylist()
+            for a, b in slices(len(found), pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+                got, stops = encoder.encode(texts.slice(a, b - a))
+                got = np.insert(got.astype("<u4"), stops[1:], end_id)
+                stops = stops + np.arange(len(stops))
+                first = 0
+                while first < b - a:  # as many whole documents as the segment still takes, or one
+                    last = int(np.searchsorted(stops, stops[first] + segment - size, "right")) - 1
+                    if last <= first:
+                        if size:
+                            yield flush()
+                            continue
+                        last = first + 1
+                    ids.append(got[stops[first] : stops[last]])
+                    names.append(found[a + first : a + last])
+                    ends.append(size + stops[first + 1 : last + 1] - stops[first])
+                    size, first = int(ends[-1][-1]), last
+        if names:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(encode, SEGMENTS)
+    order = ("doc_id", "_start", "_hash")
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.substring("text", 1, 64).alias("_start"), F.xxhash64("text").alias("_hash"))
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(encode, SEGMENTS)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
@@ -182,3 +191,28 @@ def read_documents(segments: DataFrame) -> DataFrame:
 def token_index(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Encodes, writes and reads back all documents; see read_documents."""
     return read_documents(write_tokens(docs, tokenizer, **options))
+
+
+def read_tokens(segments: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Single tokens, in place: from rows (doc_id, position) to doc_id, position, token_id.
+
+    Position counts from 0 in the document, its end id last. Rows asked for
+    twice come once; ids or positions that do not exist are left out; a doc_id
+    that several rows have gives a token for each. A segment is asked for no
+    more positions than it has tokens.
+    """
+    spans = segments.select("shard", "segment", F.posexplode("doc_ids").alias("i", "doc_id"), "ends")
+    spans = spans.select("shard", "segment", "doc_id", F.when(F.col("i") > 0, F.get("ends", F.col("i") - 1)).otherwise(0).alias("first"), F.get("ends", "i").alias("stop"))
+    asked = wanted.select(F.col("doc_id").cast("long"), F.col("position").cast("long")).where("position >= 0").distinct()
+    asked = asked.join(spans, "doc_id").where("first + position < stop").select("shard", "segment", F.struct("doc_id", "position", (F.col("first") + F.col("position")).alias("at")).alias("one"))
+    asked = asked.groupBy("shard", "segment").agg(F.collect_list("one").alias("asked"))
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                codes, rows = Codes(batch.column("codes")[i].as_py()), batch.column("asked")[i].as_py()
+                yield pa.record_batch({k: pa.array([r[k] for r in rows], pa.int64()) for k in ("doc_id", "position")} | {"token_id": pa.array([codes[r["at"]] for r in rows], pa.int64())})
+
+    return segments.select("shard", "segment", "codes").join(asked, ["shard", "segment"]).mapInArrow(read, "doc_id long, position long, token_id long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -43,7 +44,6 @@ def tokenizer(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -51,12 +51,29 @@ def by_id(rows):
     return sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "" if "text" in r else ""))
 
 
-def test_word_cache(spark, odd):
-    texts = [r["text"] or "" for r in odd.collect()] + ["tab\t\n\nx", "a\r\n b", "\n\n a", "a  b   c", " x ", "\x1c\x1d a", "nul\0 \0x \0", "\nend\n", "It's, we'll.", "x'' y", "Stra\u00dfe, \u00c9COLE!! \u0130. \u0130", "\n\n", " ", "a,\nb.\n(c)"]
-    for name, kind in (("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")):
-        got = wordcache.Encoder(queries.tokenizer_path(name), kind).encode(texts)
-        whole = tokenizer(name)
-        assert [list(g) for g in got] == [whole(t) for t in texts]
+SCRAPS = ["a", "the", "The", "\u00c9", "\u00df", "\u0301", "\u0308", "\u0130", "\u03a3", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\u3000", "\x85", "\x1c", "\0", "\u200b", "'s", "'", "1", "23", "\u00bd", "\u4e2d", "\u6587\u5b57", "\ud55c", "\u0641", "!", ",", "...", "<|endoftext|>", "<|startoftext|>", "<|", "\U0001f600", "\ufb01", "\u212a", "_", "-", "x"]
+
+
+def same_ids(encoder, whole, texts, **options):
+    ids, ends = encoder.encode(texts, **options)
+    assert len(ends) == len(texts) + 1 and ends[-1] == len(ids)
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [e.ids for e in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_word_cache(odd, name, kind):
+    from tokenizers import Tokenizer
+
+    whole, encoder = Tokenizer.from_file(queries.tokenizer_path(name)), wordcache.Encoder(queries.tokenizer_path(name), kind)
+    texts = [r["text"] for r in odd.collect()] + ["tab\t\n\nx", "a\r\n b", "\n\n a", "a  b   c", " x ", "\x1c\x1d a", "nul\0 \0x \0", "\nend\n", "It's, we'll.", "x'' y", "Stra\u00dfe, \u00c9COLE!! \u0130. \u0130", "\n\n", " ", "a,\nb.\n(c)", "a\tb\n\xa0", "end <|endoftext|> start"]
+    same_ids(encoder, whole, texts)
+    same_ids(encoder, whole, texts, characters=1000)  # long texts in parts
+    same_ids(encoder, whole, [])
+    rng = np.random.default_rng(11)
+    encoder.limit = 3000  # so that the cache is renewed
+    for k in range(12):
+        scraps = SCRAPS if k % 2 else ["a", "b", "\t", " ", "\n", "\xa0", "\r"]
+        same_ids(encoder, whole, ["".join(rng.choice(scraps, rng.integers(0, 14))) for _ in range(10_000)], characters=60_000)
 
 
 def test_codes_give_random_access():
@@ -81,6 +98,22 @@ def test_token_codes(spark, sf_dir, odd):
         assert sorted(map(tuple, got), key=lambda x: x[1]) == want
 
 
+def test_single_tokens_are_read_in_place(spark, sf_dir, odd):
+    encode = tokenizer("word_bpe_49k.json")
+    segments = token_codes.write_tokens(odd, queries.tokenizer_path("word_bpe_49k.json"), segment=3000)
+    want, asked = Counter(), []
+    for r in odd.where("doc_id is not null and doc_id <> 9").collect():
+        ids = [*encode(r["text"]), 1]
+        for at in {0, 1, len(ids) // 2, len(ids) - 1, len(ids)}:
+            asked.append((r["doc_id"], at))
+            if at < len(ids):
+                want[r["doc_id"], at, ids[at]] += 1
+    asked += [(-5, 0), (3, -1), (3, None), (None, 0)] + asked[:3]
+    got = token_codes.read_tokens(segments, spark.createDataFrame(asked, "doc_id long, position long"))
+    assert Counter(map(tuple, got.collect())) == want
+    assert token_codes.read_tokens(segments.limit(0), spark.createDataFrame(asked, "doc_id long, position long")).count() == 0
+
+
 def test_mixing(spark, sf_dir, odd):
     for df in tables(spark, sf_dir, odd):
         rows = [r.asDict() for r in df.select("doc_id", "text", "source").collect()]
@@ -395,11 +428,80 @@ def test_local_search_empties_bins():
     assert len(packing.local_search([[0, 1], [2, 3], [4]], [6, 2, 5, 4, 5], 11)) == 2
 
 
+def is_packing(bins, lengths, capacity):
+    return sorted(i for b in bins for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= capacity for b in bins)
+
+
 def test_local_search_goes_on_to_fuller_bins():
     lengths = [45, 35, 59, 41, 34, 59, 48, 50, 49, 20, 25, 40, 24, 23, 32, 31, 35, 60, 65, 33, 21, 63, 56, 52, 66, 57, 28, 61, 38, 24, 51, 51]
     got = packing.local_search(packing.best_fit(lengths, 100), lengths, 100)
-    assert sorted(i for b in got for i in b) == list(range(32)) and all(sum(lengths[i] for i in b) <= 100 for b in got)
-    assert len(got) == 14
+    assert is_packing(got, lengths, 100) and len(got) == 14
+
+
+def steps_left(bins, lengths, capacity):
+    """Whether any move or exchange between two bins that are not full raises the sum of squared fills, by trying all."""
+    rest = [([lengths[i] for i in b], sum(lengths[i] for i in b)) for b in bins]
+    for x, (a, fa) in enumerate(rest):
+        for y, (b, fb) in enumerate(rest):
+            if x == y or fa > fb or fb == capacity:
+                continue
+            for i, n in enumerate(a):
+                for out, backs in ((n, (0, *b, *(b[p] + b[q] for p in range(len(b)) for q in range(p)))), *((n + a[j], b) for j in range(i))):
+                    if any(0 < out - back <= capacity - fb for back in backs):
+                        return True
+    return False
+
+
+def test_local_search_leaves_no_step():
+    rng = np.random.default_rng(6)
+    searched = 0
+    for _ in range(150):
+        capacity = int(rng.integers(20, 60))
+        lengths = rng.integers(1, capacity + 1, rng.integers(1, 14)).tolist() if rng.random() < 0.3 else rng.integers(capacity // 4, capacity // 2 + 3, rng.integers(1, 40)).tolist()
+        got = packing.local_search(packing.best_fit(lengths, capacity), lengths, capacity)
+        assert is_packing(got, lengths, capacity)
+        if len(got) > math.ceil(sum(lengths) / capacity):
+            searched += 1
+            assert not steps_left(got, lengths, capacity)
+    assert searched > 30
+
+
+def fewest(lengths, capacity):
+    """The least number of bins, by trying all."""
+    best = len(lengths)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for i in {r: i for i, r in enumerate(rooms) if r >= lengths[k]}.values():
+            place(k + 1, [r - lengths[k] if i == j else r for j, r in enumerate(rooms)])
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_is_near_the_least():
+    rng = np.random.default_rng(9)
+    beyond = 0
+    for _ in range(60):
+        lengths = sorted(rng.integers(5, 60, 9).tolist(), reverse=True)
+        got = packing.local_search(packing.best_fit(lengths, 100), lengths, 100)
+        beyond += len(got) - fewest(lengths, 100)
+    assert 0 <= beyond <= 2
+
+
+def test_local_search_of_a_whole_block_ends():
+    lengths = [1025] * 16_384
+    start = time.process_time()
+    assert len(packing.pack_block(lengths, 2048)[0]) == 16_384
+    mixed = [*[1025] * 4000, *[700] * 4000, *[400] * 4000, *range(1, 1500, 3)]
+    assert is_packing(packing.local_search(packing.best_fit(mixed, 2048), mixed, 2048), mixed, 2048)
+    assert time.process_time() - start < 30
 
 
 def test_fingerprints(spark, sf_dir, odd):
