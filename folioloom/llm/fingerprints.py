@@ -1,13 +1,16 @@
 """Order-independent document fingerprints by a homomorphic multiset hash.
 
-A text is a multiset of pieces: its paragraphs (lines), each cut into runs of
-a few words so that a one-paragraph text has parts too. A piece is hashed to a
-vector of +1 and -1 lanes, and the fingerprint is the lane-wise sum modulo
-2^16. Adding or deleting a paragraph adds or subtracts its vector; the order of
-paragraphs does not matter; equal multisets have equal fingerprints. Because
-lanes are signs, the squared norm of a sum estimates how many pieces it holds,
-and that of a difference how many two texts do not share: the likeness is the
-cosine of the two vectors, 0 at least.
+A text is a multiset of paragraphs: its lines that hold a word, without white
+space at their ends. A paragraph is hashed to a wide vector of eight 64-bit words,
+and the fingerprint is the sum of these vectors modulo 2^64: adding or deleting a
+paragraph adds or subtracts its vector, the order of paragraphs does not matter,
+and equal multisets have equal fingerprints.
+
+A second part estimates likeness. Paragraphs are cut into chunks of a few words at
+places that the words themselves choose, so that an edit changes the chunks about
+it only; each chunk is hashed to 128 signs, and these are summed modulo 2^32, which
+no text is long enough to reach. The cosine of two such sums estimates the cosine
+of the two multisets of chunks, however often a chunk occurs.
 
 Not made for adversaries: whoever chooses the texts can find collisions.
 """
@@ -15,65 +18,144 @@ Not made for adversaries: whoever chooses the texts can find collisions.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LANES = 128
-#: Words of a piece.
-RUN = 6
-PIECE = re.compile(r"(?:[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*){1,%d}" % RUN)
+from folioloom.llm.shingles import BYTES, mix, powers
+from folioloom.llm.wordcache import spread
+
+#: 64-bit words of a paragraph's vector; signs of a chunk's.
+WIDE, LANES = 8, 128
+#: A chunk ends between two words whose hash has so many zero bits at its end, or after so many words.
+BITS, LONGEST = 2, 16
+#: White space that separates words and that paragraphs lose at their ends.
+WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
+#: Bytes cut into chunks at once; a longer text is taken in parts, each of which ends a chunk.
+PART = 1_000_000
 #: Rows of a range of documents, about, and the most ranges; beyond those ranges grow, and tasks stream them.
 RANGE, MOST_RANGES = 4096, 16_384
 
 
-def pieces(text: str) -> list[str]:
-    """Runs of at most RUN words, none across a line's end; white space at their ends goes."""
-    return [p.rstrip(" \t\v\f\r") for p in PIECE.findall(text)]
-
-
-def vectors(texts: list[str]) -> np.ndarray:
-    """The fingerprint of each text, as a row of LANES signed 16-bit numbers."""
-    cut = [pieces(t) for t in texts]
-    counts = np.array([len(c) for c in cut], np.int64)
-    out = np.zeros((len(texts), LANES), np.int16)
-    blake = hashlib.blake2b
-    done = 0
-    while done < len(texts):  # as many texts at once as have a bounded number of pieces, or one
-        stop = done + 1
-        total = counts[done]
-        while stop < len(texts) and total + counts[stop] <= 50_000:
-            total += counts[stop]
-            stop += 1
-        raw = b"".join([blake(p.encode("utf-8", "surrogatepass"), digest_size=LANES // 8).digest() for c in cut[done:stop] for p in c])
-        if raw:
-            bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, LANES // 8), axis=1)
-            full = np.flatnonzero(counts[done:stop])
-            at = np.concatenate(([0], np.cumsum(counts[done:stop])[:-1]))[full]
-            ones = np.add.reduceat(bits, at, axis=0, dtype=np.int64)
-            out[done + full] = (2 * ones - counts[done:stop][full, None]).astype(np.int16)
-        done = stop
-    return out
-
-
-def fingerprint(text: str) -> np.ndarray:
-    return vectors([text])[0]
-
-
-def combine(one: np.ndarray, other: np.ndarray, sign: int = 1) -> np.ndarray:
-    """Of the union of two multisets (sign 1), or of their difference (sign -1)."""
-    return (one.astype(np.int64) + sign * other.astype(np.int64)).astype(np.int16)
+class Prints(NamedTuple):
+    """Fingerprints, a row each: sums of paragraphs modulo 2^64, and of chunks modulo 2^32."""
+
+    wide: np.ndarray
+    lanes: np.ndarray
+
+    def row(self, i: int) -> Prints:
+        return Prints(self.wide[i : i + 1], self.lanes[i : i + 1])
+
+    def named(self) -> list[str]:
+        """Lowercase hex of all words, big-endian."""
+        return [w.astype(">u8").tobytes().hex() + v.astype(">u4").tobytes().hex() for w, v in zip(self.wide, self.lanes)]
+
+
+def paragraphs(text: bytes) -> list[bytes]:
+    return [p for line in text.split(b"\n") if (p := line.strip(WHITE))]
+
+
+def _parts(text: bytes) -> Iterator[bytes]:
+    start = 0
+    while len(text) - start > PART:
+        cut = text.rfind(b"\n", start, start + PART) + 1 or text.rfind(b" ", start, start + PART) + 1
+        if cut <= start:  # no place to cut so soon: the next one, or the end
+            cut = min((p + 1 for p in (text.find(m, start + PART) for m in (b"\n", b" ")) if p >= 0), default=len(text))
+        yield text[start:cut]
+        start = cut
+    yield text[start:]
+
+
+def chunk_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the chunks of all parts, and each one's part."""
+    data = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
+    inside = ~np.isin(data, np.frombuffer(WHITE, np.uint8))
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+    starts, ends = edge[0::2], edge[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    up, down = powers(len(data) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[data] * up[: len(data)])))
+    words = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    line = np.searchsorted(np.flatnonzero(data == 10), starts)
+    pairs = mix(words[:-1] * np.uint64(3) + words[1:])
+    last = np.append((line[1:] != line[:-1]) | (pairs & np.uint64((1 << BITS) - 1) == 0), True)
+    stops = np.flatnonzero(last) + 1
+    firsts = np.concatenate(([0], stops[:-1]))
+    times = -(-(stops - firsts) // LONGEST)
+    nth = spread(np.zeros(len(times), np.int64), times)[0]
+    firsts = np.repeat(firsts, times) + LONGEST * nth
+    stops = np.minimum(np.repeat(stops, times), firsts + LONGEST)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])))
+    found = mix((total[stops] - total[firsts]) * down[firsts] + (stops - firsts).astype(np.uint64))
+    begins = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
+    return found, np.searchsorted(begins, starts[firsts], "right") - 1
+
+
+def signs(chunks: np.ndarray) -> np.ndarray:
+    """LANES bits of each chunk."""
+    words = np.stack([mix(chunks ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) for k in range(1, LANES // 64 + 1)], 1)
+    return np.unpackbits(words.astype("<u8").view(np.uint8), axis=1)
+
+
+def prints(texts: list[str]) -> Prints:
+    """The fingerprint of each text."""
+    n = len(texts)
+    wide, lanes = np.zeros((n, WIDE), np.uint64), np.zeros((n, LANES), np.int64)
+    held: list[bytes] = []
+    owners: list[int] = []
+    size = 0
+
+    def settle():
+        if not held:
+            return
+        chunks, part = chunk_hashes(held)
+        owner = np.array(owners)[part]
+        for a in range(0, len(chunks), 50_000):
+            own = owner[a : a + 50_000]
+            at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            ones = np.add.reduceat(signs(chunks[a : a + 50_000]), at, axis=0, dtype=np.int64)
+            lanes[own[at]] += 2 * ones - np.diff(np.append(at, len(own)))[:, None]
+
+    for i, text in enumerate(texts):
+        raw = text.encode("utf-8", "surrogatepass")
+        found = b"".join([hashlib.blake2b(p, digest_size=8 * WIDE).digest() for p in paragraphs(raw)])
+        if found:
+            wide[i] = np.frombuffer(found, "<u8").reshape(-1, WIDE).sum(0, dtype=np.uint64)
+        for part in _parts(raw):
+            if size + len(part) > PART:
+                settle()
+                held, owners, size = [], [], 0
+            held.append(part)
+            owners.append(i)
+            size += len(part) + 1
+    settle()
+    return Prints(wide, lanes.astype(np.uint32))
+
+
+def fingerprint(text: str) -> Prints:
+    return prints([text])
+
+
+def combine(one: Prints, other: Prints, sign: int = 1) -> Prints:
+    """Of the unions of multisets, row by row (sign 1), or of their differences (sign -1).
+
+    The second part is exact too if the texts are joined at a line's end.
+    """
+    if sign < 0:
+        return Prints(one.wide - other.wide, one.lanes - other.lanes)
+    return Prints(one.wide + other.wide, one.lanes + other.lanes)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def likeness(one: Prints, other: Prints) -> np.ndarray:
     """Row by row, from 0 to 1; 1 for equal fingerprints, also of empty texts."""
-    a, b = a.astype(np.float64), b.astype(np.float64)
+    a, b = (x.lanes.view(np.int32).astype(np.float64) for x in (one, other))
     norm = np.sqrt((a * a).sum(1) * (b * b).sum(1))
     value = np.divide((a * b).sum(1), norm, out=np.zeros(len(a)), where=norm > 0).clip(0, 1)
-    return np.where((a == b).all(1), 1.0, value)
+    return np.where((one.wide == other.wide).all(1), 1.0, value)
 
 
 def edited(text: str, following: str) -> str:
@@ -89,6 +171,8 @@ def fingerprints(docs: DataFrame, rows: int = RANGE, most: int = MOST_RANGES) ->
     (hex), near_edited, near_next. Null texts count as empty. Rows that repeat
     a doc_id follow each other by text; null ids come first. One document alone
     is its own next; an empty table gives no rows. Other columns are ignored.
+    Very long texts are cut into chunks in parts, so a task holds a few such
+    texts and their copies, no multiple for each character.
 
     Documents are dealt into ranges of ids whose bounds are ids that occur, so
     the row after a range's end is known beforehand and is sent along with it.
@@ -110,14 +194,14 @@ def fingerprints(docs: DataFrame, rows: int = RANGE, most: int = MOST_RANGES) ->
     def follow(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def rows_of(ids, own, nexts, next_vectors):
-            first, changed = vectors(own), [edited(a, b) for a, b in zip(own, nexts)]
-            second = vectors(changed)
-            after = np.concatenate([first[1:], next_vectors])
+        def rows_of(ids, own, nexts):
+            first, changed = prints([*own, nexts[-1]]), [edited(a, b) for a, b in zip(own, nexts)]
+            second, after = prints(changed), Prints(*(x[1:] for x in first))
+            first = Prints(*(x[:-1] for x in first))
             return pa.record_batch({
                 "doc_id": pa.array(ids, pa.int64()), "n_chars": pa.array([len(t) for t in own], pa.int64()),
                 "edited_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]),
-                "fingerprint": pa.array([v.astype(">i2").tobytes().hex() for v in first]), "edited_fingerprint": pa.array([v.astype(">i2").tobytes().hex() for v in second]),
+                "fingerprint": pa.array(first.named()), "edited_fingerprint": pa.array(second.named()),
                 "near_edited": pa.array(likeness(first, second)), "near_next": pa.array(likeness(first, after)),
             })
 
@@ -133,11 +217,11 @@ def fingerprints(docs: DataFrame, rows: int = RANGE, most: int = MOST_RANGES) ->
                     continue
                 if extra:
                     if held_texts:
-                        yield rows_of(held_ids, held_texts, [*held_texts[1:], text], vectors([text]))
+                        yield rows_of(held_ids, held_texts, [*held_texts[1:], text])
                     held_ids, held_texts, ended = [], [], True
                     continue
                 if len(held_texts) > 1 and sum(map(len, held_texts[-200:])) * (len(held_texts) / len(held_texts[-200:])) > 2_000_000 or len(held_texts) > 2000:
-                    yield rows_of(held_ids[:-1], held_texts[:-1], held_texts[1:], vectors(held_texts[-1:]))
+                    yield rows_of(held_ids[:-1], held_texts[:-1], held_texts[1:])
                     held_ids, held_texts = held_ids[-1:], held_texts[-1:]
                 held_ids.append(name)
                 held_texts.append(text)

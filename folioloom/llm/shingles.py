@@ -7,6 +7,8 @@ import numpy as np
 #: A-Z to lower case; all white space to blanks.
 FOLD = bytes(32 if b in (32, 9, 10, 11, 12, 13) else b + 32 if 65 <= b <= 90 else b for b in range(256))
 BASE = 0x9E3779B97F4A7C15
+#: Bytes of a text hashed at once.
+PART = 2_000_000
 _MASK = (1 << 64) - 1
 
 
@@ -35,12 +37,34 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def _parts(text: bytes, k: int) -> list[bytes]:
+    """Parts of a long text of at least k words each, the next starting k - 1 words before the last one's end."""
+    data = np.frombuffer(text.translate(FOLD), np.uint8) != 32
+    starts = np.flatnonzero(data & np.concatenate(([True], ~data[:-1])))
+    out, first = [], 0
+    while True:
+        stop = max(int(np.searchsorted(starts, starts[first] + PART)) if len(starts) else 0, first + k)
+        if stop + k > len(starts):
+            return [*out, text[starts[first] :] if len(starts) else text]
+        out.append(text[starts[first] : starts[stop]])
+        first = stop - k + 1
+
+
 def shingle_hashes(texts: list[str], k: int = 5) -> list[np.ndarray]:
     """Per text the 64-bit hashes of its k-word shingles, in order, repeats included.
 
-    Fewer than k words make one shingle; no word makes none.
+    Fewer than k words make one shingle; no word makes none. Long texts are
+    hashed in parts, which share the words that shingles need.
     """
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    if max(map(len, raw), default=0) > PART + 1000:
+        long = {i: np.concatenate([_hashes([p], k)[0] for p in _parts(r, k)]) for i, r in enumerate(raw) if len(r) > PART + 1000}
+        short = iter(_hashes([r for i, r in enumerate(raw) if i not in long], k))
+        return [long[i] if i in long else next(short) for i in range(len(raw))]
+    return _hashes(raw, k)
+
+
+def _hashes(raw: list[bytes], k: int) -> list[np.ndarray]:
     bounds = np.cumsum([0] + [len(r) + 1 for r in raw])
     data = np.frombuffer((b" ".join(raw) + b" ").translate(FOLD), np.uint8)
     inside = data != 32
