@@ -5,9 +5,10 @@ password-like or high-entropy string, a server address) say little alone. They
 are intervals with a role each, joined by position within scopes: stretches
 that no gap of more than ``reach`` characters or blank line divides. They are
 reported only where complementary roles meet in a scope: a secret with an
-identifier, or a named weak secret with a server address. A server address that
-lies in such a scope is reported with them. The user:password part of an address
-is an identifier and a named secret.
+identifier, or a named secret with a server address. Of a bare secret and an
+address, or an account name and an address, nothing is reported: these are in
+many clean texts. A server address that lies in such a scope is reported with
+them. The user:password part of an address is an identifier and a named secret.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ LOGIN = re.compile(r"://([^:/?#]*):([^/?#]+)@")
 REACH = 200
 #: Bits a character that a bare secret needs.
 ENTROPY = 3.5
+#: A blank line, by any line ends.
+BLANK = re.compile(r"(?:\r\n|\n|\r(?!\n))[ \t\v\f]*(?:\r\n|\n|\r(?!\n))")
 #: What any weak named candidate contains, to spare most texts the search.
 HINT = re.compile(r"[:=]")
 
@@ -96,11 +99,11 @@ def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int = REACH
 
     def settle():
         met = {roles[k] for _, _, k in scope}
-        if {"id", "secret"} <= met or "endpoint" in met and any(k == "weak_secret" and (s, e) in named for s, e, k in scope):
+        if {"id", "secret"} <= met or "endpoint" in met and any(k == "assign" or k == "weak_secret" and (s, e) in named for s, e, k in scope):
             out.extend((k, s, e) for s, e, k in scope if k not in BASE)
 
     for s, e, k in every:
-        if stop is not None and (s - stop > reach or "\n\n" in text[stop:s]):
+        if stop is not None and (s - stop > reach or s > stop and BLANK.search(text, stop, s)):
             settle()
             scope, stop = [], None
         scope.append((s, e, k))
@@ -130,8 +133,10 @@ def scan_text(text: str, reach: int = REACH) -> tuple[list, list]:
 def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """A row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    Spans count code points, end exclusive. Null texts count as empty; other
-    columns are ignored. Rows keep their partitions; nothing is shuffled.
+    Spans count code points, end exclusive. Null texts count as empty; rows that
+    repeat are scanned each; other columns are ignored; an empty table gives no
+    rows. Rows keep their partitions; nothing is shuffled. Time grows in
+    proportion to a text's length, and memory with its candidates.
     """
 
     def find(batches: Iterator) -> Iterator:
