@@ -3,8 +3,11 @@
 Rules label the urls that they cover. On a bounded sample of the distinct ones, trees are
 boosted on lexical features: lengths, depth, digit ratio, entropy, parameter
 counts and statistics of host suffixes, which are taken from all labelled urls.
-The trees become one SQL expression, which judges every other url inside Spark's
-generated code.
+What a url is trained on excludes what a fold of rows that it is in tells of its suffix, and each
+is trained on once more as if its suffix were unknown, so that the trees also
+learn to judge without it. Both labels weigh the same, so no evidence is a
+probability of a half, which does not block. The trees become one SQL expression,
+which judges every other url inside Spark's generated code.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 #: Distinct labelled urls that the trees are fitted on, at most; boosting parameters.
 SAMPLE, TREES, DEPTH, RATE, CUTS, LEAST = 20_000, 24, 3, 0.3, 24, 20
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digits", "entropy", "parameters", "hyphens", "suffix_rate", "suffix_share")
-#: Probability of "block" from which a url is blocked.
+#: Folds of labelled urls; labels that a suffix has besides its own, half of them blocked.
+FOLDS, SMOOTH = 5, 10
+#: Probability of "block" above which a url is blocked.
 THRESHOLD = 0.5
 
 
@@ -111,37 +116,44 @@ def verdicts(pages: DataFrame, rules=RULES, sample: int = SAMPLE, threshold: flo
 
     Null urls count as empty; without :// host and path are empty. Without
     urls that rules cover, the model's probability is a half everywhere and
-    urls without a rule are allowed. Other columns are ignored; an empty
-    table gives no rows.
+    urls without a rule are allowed. Repeated rows are judged each; a url's
+    copies count in training as often as they come. Other columns are ignored;
+    an empty table gives no rows.
     """
     spark = pages.sparkSession
     url = F.coalesce(F.col("url"), F.lit(""))
     rows = pages.select("page_id", url.alias("url"), host(url).alias("host"), path(url).alias("path"))
     rows = rows.withColumn("found", rule(F.col("host"), F.col("path"), rules))
     features = lexical(F.col("url"), F.col("host"), F.col("path"))
-    rows = rows.select("page_id", "url", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("ruled"), F.substring_index("host", ".", -2).alias("suffix"), *(c.cast("double").alias(k) for k, c in features.items()), F.xxhash64("url").alias("_order"))
+    rows = rows.select("page_id", "url", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("ruled"), F.substring_index("host", ".", -2).alias("suffix"), *(c.cast("double").alias(k) for k, c in features.items()), F.xxhash64("url").alias("_order"), F.pmod(F.xxhash64("page_id"), F.lit(FOLDS)).alias("fold"))
     rows = written(rows, "urls")
     # A url's copies have the same features, so it stands once and counts as often as it comes.
-    distinct = rows.where("ruled is not null").groupBy("url").agg(F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("_order", "ruled", "suffix", *features)))
+    distinct = rows.where("ruled is not null").groupBy("url").agg(F.count("*").alias("times"), F.min("fold").alias("fold"), *(F.first(c).alias(c) for c in ("_order", "ruled", "suffix", *features)))
     labelled = distinct.orderBy("_order", "url").limit(sample).withColumn("y", (F.col("ruled") == "block").cast("double"))
     labelled = written(labelled, "labelled")  # sample rows at most
-    counts = rows.where("ruled is not null").groupBy("suffix").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("blocked"))
+    counts = rows.where("ruled is not null").groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     counts = written(counts, "suffixes")
-    totals = counts.agg(F.sum("n"), F.sum("blocked")).first()
-    ruled, rate = totals[0] or 0, ((totals[1] or 0) + 1) / ((totals[0] or 0) + 2)
-    share = (F.col("n") / F.lit(float(max(ruled, 1)))).alias("suffix_share")
-    suffixes = joinable(counts.select("suffix", share, ((F.col("blocked") + 10 * rate) / (F.col("n") + 10)).alias("suffix_rate")))
-
-    def with_suffix(df: DataFrame) -> DataFrame:
-        joined = df.join(suffixes, "suffix", "left")
-        return joined.withColumn("suffix_share", F.coalesce("suffix_share", F.lit(0.0))).withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(rate)))
-
-    alike = with_suffix(labelled).groupBy(*FEATURES, "y").agg(F.sum("times").alias("times")).collect()
+    ruled = float(counts.agg(F.sum("n")).first()[0] or 1)
+    whole = counts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+
+    def with_suffix(df: DataFrame, statistics: DataFrame, on: list[str]) -> DataFrame:
+        rate = (F.coalesce("blocked", F.lit(0)) + SMOOTH / 2) / (F.coalesce("n", F.lit(0)) + SMOOTH)
+        joined = df.join(joinable(statistics), on, "left").withColumn("suffix_rate", rate)
+        return joined.withColumn("suffix_share", F.coalesce("n", F.lit(0)) / F.lit(ruled)).drop("n", "blocked")
+
+    others = whole.withColumnsRenamed({"n": "all", "blocked": "all_blocked"}).join(counts, "suffix")
+    others = others.select("suffix", "fold", (F.col("all") - F.col("n")).alias("n"), (F.col("all_blocked") - F.col("blocked")).alias("blocked"))
+    seen = with_suffix(labelled, others, ["suffix", "fold"])
+    unseen = seen.withColumn("suffix_rate", F.lit(0.5)).withColumn("suffix_share", F.lit(0.0))
+    alike = seen.unionByName(unseen).groupBy(*FEATURES, "y").agg(F.sum("times").alias("times")).collect()  # 2 * sample rows at most
     alike.sort(key=tuple)
     held = np.array([tuple(r) for r in alike], float).reshape(-1, len(FEATURES) + 2)
+    for k in (0, 1):  # both labels weigh as much
+        own = held[:, -2] == k
+        held[own, -1] *= held[:, -1].sum() / 2 / max(held[own, -1].sum(), 1) if 0 < own.sum() < len(own) else 1
     start, trees = boost(held[:, : len(FEATURES)], held[:, -2], held[:, -1])
     total = " + ".join([f"{start!r}D", *map(tree_expression, trees)])
     probability = 1 / (1 + F.exp(-F.expr(total)))
-    out = with_suffix(rows).withColumn("block_probability", probability)
+    out = with_suffix(rows, whole, ["suffix"]).withColumn("block_probability", probability)
     judged = F.coalesce("ruled", F.when(F.col("block_probability") > threshold, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", judged.alias("verdict"), "block_probability")
