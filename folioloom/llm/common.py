@@ -42,11 +42,30 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 
     Cuts the lineage: a lost executor costs at most the tasks it ran since.
+    ``dropped`` deletes the table again.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folioloom_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and that no plan still to run reads."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._folioloom_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """wanted, lengthened until no column of df has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def tidy(f):
