@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioloom.llm.common import joinable, n_words, written
+from folioloom.llm.common import free_name, joinable, n_words, written
 
 #: Weights of the sources, by code point, null last, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -115,16 +115,36 @@ def mixed(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
 
     Texts are not shuffled: what each source takes is told by its epochs and
     the key of the last document of the fractional one. Documents without
-    words are not in the mix. Rows alike in all columns are taken together.
+    words are not in the mix. Of rows with the same doc_id and text as the last
+    one taken, as many are in the fractional epoch as mix() takes, the first by
+    their other columns. Columns of docs may have any names; an empty table gives
+    no rows.
     """
     plan = mix(docs, seed=seed, partial=False, **options)
     key = F.struct("position", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "size")
     more = F.col("taken") > F.col("epochs") * F.col("size")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    cuts = plan.withColumn("epochs", whole).groupBy("source", "epochs").agg(F.max(F.when(more, key)).alias("last"))
-    cuts = written(cuts.select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("last").alias("_last")), "cuts")
-    text, words, doc = F.coalesce("text", F.lit("")), n_words(F.col("text")), F.col("doc_id").cast("long")
-    keyed = docs.withColumn("_size", words).withColumn("_own", F.struct(key_position(text, doc, quality_weight(F.col("text"), F.col("_size")), seed).alias("position"), F.coalesce(doc, F.lit(-(1 << 63))).alias("doc_id"), F.col("_size").alias("size")))
-    rows = keyed.where("_size > 0").join(joinable(cuts), F.expr("_source <=> cast(source as string)"))
-    times = F.col("_epochs") + F.coalesce((F.col("_own") <= F.col("_last")).cast("int"), F.lit(0))
-    return rows.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    keyed = plan.withColumn("epochs", whole).select("source", "epochs", key.alias("key"), more.alias("more"))
+    cuts = written(keyed.groupBy("source", "epochs").agg(F.max(F.when(F.col("more"), F.col("key"))).alias("last")), "cuts")
+    # Copies of the last document may be taken in part: how many of how many.
+    edge = keyed.withColumnsRenamed({"source": "s", "epochs": "e"}).join(joinable(cuts), F.expr("s <=> source and key = last"))
+    edge = edge.groupBy("source").agg(F.count("*").alias("copies"), F.count_if("more").alias("chosen")).withColumnRenamed("source", "s")
+    cuts = cuts.join(edge, F.expr("s <=> source"), "left").select("source", F.struct("epochs", "last", "copies", "chosen").alias("cut"))
+    cuts = written(cuts, "cuts")
+
+    one, cut = free_name(docs, "one"), free_name(docs, "cut")
+    text, doc = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    words = n_words(F.col("text"))
+    own = F.struct(key_position(text, doc, quality_weight(F.col("text"), words), seed).alias("position"), F.coalesce(doc, F.lit(-(1 << 63))).alias("doc_id"), words.alias("size"))
+    told = cuts.select(F.col("source").alias(free_name(docs, "told")), F.col("cut").alias(cut))
+    rows = docs.where(words > 0).withColumn(one, own).join(joinable(told), F.col(told.columns[0]).eqNullSafe(F.col("source").cast("string")))
+    partly = F.col(f"`{cut}`.chosen") < F.col(f"`{cut}`.copies")
+    sure = (F.col(one) < F.col(f"`{cut}`.last")) | (F.col(one) == F.col(f"`{cut}`.last")) & ~partly
+    times = F.col(f"`{cut}`.epochs") + F.coalesce(sure.cast("int"), F.lit(0))
+    nth = free_name(docs, "nth")
+    at_cut = F.coalesce((F.col(one) == F.col(f"`{cut}`.last")) & partly, F.lit(False))
+    main = rows.withColumn(nth, times).select(*docs.columns, nth)
+    extra = rows.where(at_cut).withColumn(nth, F.row_number().over(Window.partitionBy(F.col("source").cast("string")).orderBy(*[c for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")])))
+    extra = extra.where(F.col(nth) <= F.col(f"`{cut}`.chosen")).withColumn(nth, F.lit(1)).select(*docs.columns, nth)
+    rows = main.where(F.col(nth) > 0).unionByName(extra)
+    return rows.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(nth)))).select(docs.columns)
