@@ -2,18 +2,24 @@
 
 Fixed rules come first. Then each document's statistics, transformed to be
 near-normal, form a vector, and every group of a language and a source gets a
-minimum-covariance-determinant estimate: from medians and absolute deviations,
+minimum-covariance-determinant estimate. From several starts (medians with
+absolute deviations, all documents, two quarters of them chosen by a hash),
 concentration steps take the share h of documents nearest by Mahalanobis
 distance and re-estimate centre and covariance from them, which lowers the
-determinant at every step. Documents far beyond the cutoff are rejected.
+determinant; the start with the least determinant goes on until it falls no
+more. Every covariance has a fixed least variance added, for statistics that
+hardly vary. Documents far beyond the cutoff are rejected.
 
 All of it is DataFrame expressions: covariances are grouped sums, factors are
-Cholesky columns and a distance is one forward substitution.
+Cholesky columns and a distance is one forward substitution. Quantiles are exact
+ranks over bins of fixed width, so they do not depend on partitions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioloom.llm.common import SPACE, joinable, written
@@ -21,8 +27,10 @@ from folioloom.llm.common import SPACE, joinable, written
 SYMBOLS = "#*$%&|<>"
 #: Documents in a window that a group needs for an estimate of its own.
 LEAST = 50
-#: Share of a group in the concentrated subset, and steps.
-H, STEPS = 0.75, 3
+#: Share of a group in the concentrated subset; steps from every start; least fall of the determinant's logarithm that counts.
+H, STEPS, FALL = 0.75, 2, 1e-3
+#: Bins a unit of a statistic, and of the logarithm of 1 + a squared distance.
+FINE, FAR = 1024, 4096
 #: Mean of the squares of a standard normal vector's entry within the h nearest, five dimensions.
 SHRUNK = 0.634
 #: Squared distance beyond which a document is rejected: about the 1 - 1e-11 quantile of five squares.
@@ -72,7 +80,7 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _factored(moments: DataFrame, shrunk: float) -> DataFrame:
-    """From group, m_i and c_i_j (covariances) to group, m_i and the Cholesky columns l_i_j."""
+    """From group, start, m_i and c_i_j (covariances) to group, start, m_i, the Cholesky columns l_i_j and the determinant's logarithm."""
     names, floors = list(ENTRIES), [f for _, f in ENTRIES.values()]
     rows = moments
     for i, a in enumerate(names):
@@ -83,7 +91,8 @@ def _factored(moments: DataFrame, shrunk: float) -> DataFrame:
                 rows = rows.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(held + floors[i] ** 2 - done, F.lit(floors[i] ** 2))))
             else:
                 rows = rows.withColumn(f"l_{a}_{b}", (held - done) / F.col(f"l_{b}_{b}"))
-    return rows.select("group", *(f"m_{a}" for a in names), *(f"l_{a}_{b}" for i, a in enumerate(names) for b in names[: i + 1]))
+    size = sum((2 * F.ln(F.col(f"l_{a}_{a}")) for a in names), F.lit(0.0))
+    return rows.select("group", "start", *(f"m_{a}" for a in names), *(f"l_{a}_{b}" for i, a in enumerate(names) for b in names[: i + 1]), size.alias("size"))
 
 
 def _distance() -> Column:
@@ -102,27 +111,64 @@ def _with_distance(rows: DataFrame, estimates: DataFrame, keep: list[str], how:
     return rows.join(joinable(estimates), "group", how).select(*keep, _distance().alias("distance"))
 
 
-def estimates(rows: DataFrame, h: float = H, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant estimates of each group from rows (group, x_...)."""
+def _ranked(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """From rows (keys, bin): the first bin up to which a key has the share of its rows, or more."""
+    bins = rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    own = Window.partitionBy(*keys)
+    bins = bins.withColumn("upto", F.sum("n").over(own.orderBy("bin"))).withColumn("all", F.sum("n").over(own))
+    return bins.where(F.col("upto") >= share * F.col("all")).groupBy(*keys).agg(F.min("bin").alias("bin"))
+
+
+def _moments(rows: DataFrame) -> DataFrame:
     names = list(ENTRIES)
-    middle = rows.groupBy("group").agg(*(F.percentile_approx(f"x_{a}", 0.5, 1000).alias(f"m_{a}") for a in names))
-    middle = written(middle, "medians")
-    off = rows.join(joinable(middle), "group")
-    spread = off.groupBy("group").agg(*(F.first(f"m_{a}").alias(f"m_{a}") for a in names), *(F.percentile_approx(F.abs(F.col(f"x_{a}") - F.col(f"m_{a}")), 0.5, 1000).alias(f"s_{a}") for a in names))
-    start = spread
-    for i, a in enumerate(names):
-        for b in names[: i + 1]:
-            start = start.withColumn(f"c_{a}_{b}", F.pow(1.4826 * F.col(f"s_{a}"), 2) if a == b else F.lit(0.0))
-    found = written(_factored(start, 1.0), "estimate")
-    own = ["group", *(f"x_{a}" for a in names)]
+    means = [F.avg(f"x_{a}").alias(f"m_{a}") for a in names]
+    pairs = [F.covar_pop(f"x_{a}", f"x_{b}").alias(f"c_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]]
+    return rows.groupBy("group", "start").agg(*means, *pairs)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Estimates of each group from rows (group, x_...), four starts each."""
+    names = list(ENTRIES)
+
+    def middle(values: DataFrame) -> DataFrame:
+        found = _ranked(values.withColumn("bin", F.floor(F.col("x") * FINE)), ["group", "name"], 0.5)
+        return written(found.select("group", "name", ((F.col("bin") + 0.5) / FINE).alias("m")), "middle")
+
+    values = rows.select("group", F.explode(F.array(*(F.struct(F.lit(a).alias("name"), F.col(f"x_{a}").alias("x")) for a in names))).alias("v")).select("group", "v.*")
+    medians = middle(values)
+    off = middle(values.join(joinable(medians), ["group", "name"]).select("group", "name", F.abs(F.col("x") - F.col("m")).alias("x")))
+    robust = medians.join(off.withColumnRenamed("m", "s"), ["group", "name"]).groupBy("group").pivot("name", names).agg(F.first("m").alias("m"), F.first("s").alias("s"))
+    apart = [F.pow(1.4826 * F.col(f"{a}_s"), 2).alias(f"c_{a}_{b}") if a == b else F.lit(0.0).alias(f"c_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]]
+    robust = robust.select("group", F.lit(0).alias("start"), *(F.col(f"{a}_m").alias(f"m_{a}") for a in names), *apart)
+    quarter = F.pmod(F.xxhash64(*(f"x_{a}" for a in names)), F.lit(4))
+    some = rows.withColumn("start", F.explode(F.array(F.lit(1), F.when(quarter < 2, (quarter + 2).cast("int"))))).where("start is not null")
+    return written(_factored(robust.unionByName(_moments(some)), 1.0), "starts")
+
+
+def estimates(rows: DataFrame, h: float = H, steps: int = STEPS, fall: float = FALL) -> DataFrame:
+    """Minimum-covariance-determinant estimates of each group from rows (group, x_...)."""
+    own = ["group", "start", *(f"x_{a}" for a in ENTRIES)]
+
+    def concentrated(found: DataFrame) -> DataFrame:
+        far = _with_distance(rows, found, own).withColumn("bin", F.floor(F.ln(1 + F.col("distance")) * FAR))
+        cuts = written(_ranked(far, ["group", "start"], h).withColumnRenamed("bin", "cut"), "cuts")
+        near = far.join(joinable(cuts), ["group", "start"]).where("bin <= cut")
+        return written(_factored(_moments(near), SHRUNK), "estimate")
+
+    found = _starts(rows)
     for _ in range(steps):
-        far = _with_distance(rows, found, own)
-        cuts = written(far.groupBy("group").agg(F.percentile_approx("distance", h, 1000).alias("cut")), "cuts")
-        near = far.join(joinable(cuts), "group").where("distance <= cut")
-        sums = [F.avg(f"x_{a}").alias(f"m_{a}") for a in names]
-        pairs = [F.covar_pop(f"x_{a}", f"x_{b}").alias(f"c_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]]
-        found = written(_factored(near.groupBy("group").agg(*sums, *pairs), SHRUNK), "estimate")
-    return found
+        found = concentrated(found)
+    best = Window.partitionBy("group").orderBy("size", "start")
+    found = written(found.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth"), "estimate")
+    # A group goes on while its determinant falls; as each fall is by a least amount, all end.
+    done, going = [], found
+    while going.limit(1).count():
+        after = concentrated(going)
+        fell = going.select("group", F.col("size").alias("before")).join(after, "group").where(F.col("size") < F.col("before") - fall).drop("before")
+        fell = written(fell, "estimate")
+        done.append(going.join(joinable(fell.select("group")), "group", "left_anti"))
+        going = fell
+    return written(functools.reduce(DataFrame.unionByName, done, found.limit(0)), "estimates")
 
 
 def judged(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST) -> DataFrame:
@@ -131,7 +177,11 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST) -> DataF
     Estimates come from documents that pass the base rules, all of them. Groups
     with fewer than ``least`` such documents are pooled by language, and then
     altogether; a pool that is still too small rejects nothing. Null lang and
-    source are values like others. An empty table gives no rows.
+    source are values like others. Null texts have no words; repeated rows
+    count each; other columns are ignored; an empty table gives no rows. A long
+    text takes a few arrays of its words' hashes in one task. Sums of squares
+    depend on the order of rows in their last digits, so a distance at the very
+    cutoff could fall on either side of it in a rerun.
     """
     rows = statistics(docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), "text"), ["doc_id", "lang", "source"])
     rows = written(rows, "statistics")
