@@ -1,7 +1,7 @@
 """Quality by nearest-neighbour voting among labelled documents.
 
-Terms are hashed trigrams of character classes (runs of letters count once, so
-they show form rather than words) and the share of repeated four-word runs.
+Terms are hashed words, hashed trigrams of character classes (runs of letters
+count once, so these show form) and the share of repeated four-word runs.
 Labelled documents, a bounded sample, give term weights, a truncated singular
 value decomposition and the labelled latent vectors, which are broadcast. Every
 document's latent vector is compared with all of them, in blocks of exact
@@ -18,10 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from folioloom.llm.common import tidy
+from folioloom.llm.common import free_name, tidy
+from folioloom.llm.shingles import shingle_hashes
 from folioloom.llm.wordcache import slices
 
-TERMS, SHARES, LATENT = 4093, 10, 64
+FORMS, WORDS, SHARES, LATENT = 2039, 2053, 10, 64
+TERMS = FORMS + WORDS
+#: Trigrams counted at once.
+PART = 1_000_000
 #: Labelled documents of each label, at most, that the model is fitted on.
 SAMPLE = 2048
 NEIGHBOURS = 25
@@ -52,28 +56,42 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 
 
+def _counted(out: np.ndarray, owner: np.ndarray, term: np.ndarray, first: int, size: int) -> None:
+    """Adds the terms of each owner to its columns first to first + size."""
+    out[:, first : first + size] += np.bincount(owner * size + term, minlength=len(out) * size).reshape(-1, size)
+
+
 def features(texts: list[str]) -> np.ndarray:
-    """Term frequencies of each text, damped and scaled to length 1; an empty text has none."""
+    """Term frequencies of each text, words and forms apart, damped and scaled to length 1; an empty text has none."""
     out = np.zeros((len(texts), TERMS + SHARES), np.float32)
-    for a, b in slices(len(texts), [len(t) for t in texts], 1_000_000):
+    for a, b in slices(len(texts), [len(t) for t in texts], PART):
         part = [t.encode("utf-8", "surrogatepass") for t in texts[a:b]]
-        data = CLASSES[np.frombuffer(b"".join(part), np.uint8)].astype(np.int64)
-        owner = np.repeat(np.arange(b - a), [len(p) for p in part])
-        keep = np.ones(len(data), bool)
-        keep[1:] = (data[1:] != data[:-1]) | (data[1:] > 2) | (owner[1:] != owner[:-1])
-        data, owner = data[keep], owner[keep]
-        if len(data) > 2:
-            term = (data[:-2] * 4099 + data[1:-1] * 67 + data[2:]) % TERMS
+        data = CLASSES[np.frombuffer(b"".join(part), np.uint8)]
+        lengths = [len(p) for p in part]
+        starts = np.cumsum([0, *lengths[:-1]])
+        keep = np.concatenate(([True], (data[1:] != data[:-1]) | (data[1:] > 2)))[: len(data)]
+        keep[starts[starts < len(data)]] = True
+        stops = np.cumsum(keep)[np.cumsum(lengths) - 1] if len(data) else np.zeros(b - a, np.int64)
+        stops[np.cumsum(lengths) == 0] = 0
+        data = data[keep]
+        for i in range(0, max(0, len(data) - 2), PART):
+            own = data[i : i + PART + 2].astype(np.int64)
+            owner = np.searchsorted(stops, np.arange(i, i + len(own)), "right")
             inside = owner[:-2] == owner[2:]
-            out[a:b, :TERMS] = np.bincount(owner[:-2][inside] * TERMS + term[inside], minlength=(b - a) * TERMS).reshape(-1, TERMS)
+            _counted(out[a:b], owner[:-2][inside], ((own[:-2] * 4099 + own[1:-1] * 67 + own[2:]) % FORMS)[inside], 0, FORMS)
+        words = shingle_hashes(texts[a:b], 1)
+        sizes = [len(w) for w in words]
+        if sum(sizes):
+            _counted(out[a:b], np.repeat(np.arange(b - a), sizes), (np.concatenate(words) % np.uint64(WORDS)).astype(np.int64), FORMS, WORDS)
     out = np.log1p(out)
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    out /= np.where(norm > 0, norm, 1)
-    for i, t in enumerate(texts):
-        w = t.split()
-        if len(w) > 12:
-            again = 1 - len(set(zip(w, w[1:], w[2:], w[3:]))) / (len(w) - 3)
-            out[i, TERMS + min(SHARES - 1, int(again * SHARES))] = 1.0 if again > 0.05 else 0.0
+    for part in (out[:, :FORMS], out[:, FORMS:TERMS]):
+        norm = np.linalg.norm(part, axis=1, keepdims=True)
+        part /= np.where(norm > 0, norm, 1) * 2**0.5
+    for a, b in slices(len(texts), [len(t) for t in texts], PART):
+        for i, runs in enumerate(shingle_hashes(texts[a:b], 4), a):
+            if len(runs) > 9:
+                again = 1 - len(np.unique(runs)) / len(runs)
+                out[i, TERMS + min(SHARES - 1, int(again * SHARES))] = 1.0 if again > 0.05 else 0.0
     return out
 
 
@@ -129,7 +147,10 @@ def held_out(column: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model of at most ``sample`` documents of each label, chosen by a hash of their ids."""
+    """The model of at most ``sample`` documents of each label, chosen by a hash of their ids.
+
+    Of contradictory labels the higher one holds; of rows that repeat a doc_id, one text.
+    """
     one = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = [one.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     few = F.broadcast(chosen[0].unionAll(chosen[1]))  # 2 * sample rows at most
@@ -145,8 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 "values": pa.array([v[r].tobytes() for v, r in zip(x, rows)], pa.binary()),
             })
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(few, "doc_id").mapInArrow(tidy(emit), "doc_id long, label int, terms binary, values binary")
-    got = sorted(found.limit(4 * sample).collect(), key=lambda r: (r["doc_id"], bytes(r["terms"]), bytes(r["values"])))
+    known = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(few, "doc_id")
+    known = known.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    found = known.mapInArrow(tidy(emit), "doc_id long, label int, terms binary, values binary")
+    got = sorted(found.collect(), key=lambda r: r["doc_id"])  # 2 * sample rows at most
     x = np.zeros((len(got), TERMS + SHARES), np.float32)
     for i, r in enumerate(got):
         x[i, np.frombuffer(r["terms"], np.uint16)] = np.frombuffer(r["values"], np.float32)
@@ -155,11 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(x, np.array([r["label"] for r in got]))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
-    """docs, or the columns in keep, with score and predicted (columns of these names are replaced). Null texts count as empty."""
+def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs, or the columns in keep, with score and predicted, or as named (columns of these names are replaced). Null texts count as empty."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    schema = StructType([docs.schema[c] for c in keep]).add("score", DoubleType()).add("predicted", IntegerType())
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    schema = StructType([docs.schema[c] for c in keep]).add(names[0], DoubleType()).add(names[1], IntegerType())
 
     def emit_scores(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -168,8 +191,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str]
             texts = [t or "" for t in batch.column("text").to_pylist()]
             parts = [vote(held.value, features(texts[a : a + 256])) for a in range(0, len(texts), 256)]
             found = np.concatenate([*parts, np.zeros(0)])
-            kept = batch.select(keep).append_column("score", pa.array(found, pa.float64()))
-            yield kept.append_column("predicted", pa.array((found >= threshold).astype(np.int32)))
+            kept = batch.select(keep).append_column(names[0], pa.array(found, pa.float64()))
+            yield kept.append_column(names[1], pa.array((found >= threshold).astype(np.int32)))
 
     return docs.mapInArrow(tidy(emit_scores), schema)
 
@@ -178,7 +201,11 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
     """A row per document: doc_id, held_out, score, predicted.
 
     Trained on the labelled documents among docs that are not held out. Labels,
-    lang, source and doc_id are no inputs of a score. An empty table gives no rows.
+    lang, source and doc_id are no inputs of a score. Equal texts, of repeated
+    rows too, have equal scores. A text without terms scores 0, and all score 0.5
+    without labelled documents. Other columns are ignored; an empty table gives
+    no rows. Long texts are counted in parts; a task holds a few bytes for each
+    of a text's.
     """
     model = train(docs, labelled_rows(labels))
     rows = score(docs.select(F.col("doc_id").cast("long"), "text"), model, threshold, ["doc_id"])
@@ -186,6 +213,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs without the documents that the classifier rejects."""
-    model = train(docs, labelled_rows(labels))
-    return score(docs, model, threshold).where("predicted = 1").select(docs.columns)
+    """docs without the documents that the classifier rejects. Columns of docs may have any names."""
+    names = free_name(docs, "score"), free_name(docs, "predicted")
+    found = score(docs, train(docs, labelled_rows(labels)), threshold, names=names)
+    return found.where(F.col(names[1]) == 1).select(docs.columns)
