@@ -76,4 +76,21 @@ def _sharding_sql() -> str:
     return f"SELECT doc_id, slot, CAST(({slots})[slot + 1] AS INTEGER) AS shard FROM (SELECT doc_id, {slot} AS slot FROM documents)"
 
 
-SQL = {"op7_sharding": _sharding_sql()}
+#: All pairs that share a shingle, then what links reach: quadratic in a group of copies, so for small tables only.
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w] ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+met AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM met JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT x, y FROM ways UNION SELECT reached.x, ways.y FROM reached JOIN ways ON reached.y = ways.x)
+SELECT documents.doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, CAST(least(documents.doc_id, coalesce(r.low, documents.doc_id)) AS BIGINT) AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT x, min(y) AS low FROM reached GROUP BY x) r ON r.x = documents.doc_id
+"""
+
+SQL = {"op5_jaccard": JACCARD_SQL, "op7_sharding": _sharding_sql()}
