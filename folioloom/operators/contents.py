@@ -21,19 +21,19 @@ def runs_of_items(rows: DataFrame, least: int = 2) -> DataFrame:
 
 def keyword_region(rows: DataFrame, pattern: str | None = None) -> DataFrame:
     """(doc_id, start_line, end_line) from the contents keyword to the line before its first heading comes again."""
-    doc = Window.partitionBy("doc_id")
-    t, rows = T.strip(F.col("text")), rows.select("doc_id", "line_no", "text")
-    rows = rows.withColumn("title", T.contents_title(F.col("text"))).withColumn("n", F.count("*").over(doc))
-    early = F.col("line_no") < F.least(F.col("n"), F.greatest(F.lit(100), F.floor(F.col("n") * 0.2)))
-    anchor = early & t.contains(KEYWORD) & (t.endswith(KEYWORD) | (F.length(t) <= 50))
-    rows = rows.withColumn("anchor", F.min(F.when(anchor, F.col("line_no"))).over(doc))
-    opens = (F.col("line_no") > F.col("anchor")) & T.is_heading(F.col("title"), pattern)
-    rows = rows.withColumn("first", F.min(F.when(opens, F.struct("line_no", "title"))).over(doc)).where("first is not null")
+    t, title = T.strip(F.col("text")), T.contents_title(F.col("text"))
+    named = t.contains(KEYWORD) & (t.endswith(KEYWORD) | (F.length(t) <= 50))
+    marked = rows.select("doc_id", "line_no", title.alias("title"), named.alias("named")).withColumn("opens", T.is_heading(F.col("title"), pattern))
+    # Only headings and counts of a document are brought together, not its text.
+    heads = F.collect_list(F.when(F.col("opens"), F.struct("line_no", "title")))
+    one = marked.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.when(F.col("named"), F.col("line_no"))).alias("anchor"), heads.alias("heads"))
+    one = one.where(F.col("anchor") < F.least(F.col("n"), F.greatest(F.lit(100), F.floor(F.col("n") * 0.2))))
+    one = one.withColumn("first", F.array_min(F.filter("heads", lambda h: h["line_no"] > F.col("anchor")))).where("first is not null")
     number = T.ordinal_value(F.col("first.title"))
     share = F.floor(F.col("n") * F.when(number == 1, 0.5).otherwise(0.3))
-    end = F.when(number.isNull(), F.col("n")).otherwise(F.least(F.col("n"), F.greatest(F.col("first.line_no") + 1, share)))
-    closes = (F.col("line_no") > F.col("first.line_no")) & (F.col("line_no") < end) & (F.col("title") == F.col("first.title"))
-    found = rows.groupBy("doc_id").agg(F.min("anchor").alias("start_line"), (F.min(F.when(closes, F.col("line_no"))) - 1).alias("end_line"))
+    one = one.withColumn("end", F.when(number.isNull(), F.col("n")).otherwise(F.least(F.col("n"), F.greatest(F.col("first.line_no") + 1, share))))
+    again = F.filter("heads", lambda h: (h["line_no"] > F.col("first.line_no")) & (h["line_no"] < F.col("end")) & (h["title"] == F.col("first.title")))
+    found = one.select("doc_id", F.col("anchor").alias("start_line"), (F.array_min(F.transform(again, lambda h: h["line_no"])) - 1).alias("end_line"))
     return found.where("end_line is not null")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Distance to a line's baseline that a word may have; the new word's share in the baseline.
 REACH, SHARE = 4.0, 0.2
+#: Height of the bands in which characters meet lines.
+BAND = 16.0
 
 
 def cluster_words(words: DataFrame, reach: float = REACH) -> DataFrame:
@@ -14,25 +16,24 @@ def cluster_words(words: DataFrame, reach: float = REACH) -> DataFrame:
 
     Words by height join the last line if its running baseline is within
     reach, else start the next: the baseline moves, so this is a fold over
-    a page's words, which never outgrow a page.
+    a page's words, which never outgrow a page. It keeps the baseline and where
+    lines start; the lines are then cut out of the page's words.
     """
     word = F.struct(((F.col("top") + F.col("bottom")) / 2).alias("y"), "x0", "ord", "text", "top", "x1", "bottom")
     pages = words.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(word)).alias("words"))
-    start = F.struct(F.lit(None).cast("double").alias("b"), F.lit(-1).alias("k"), F.array().cast("array<int>").alias("ids"))
+    start = F.struct(F.lit(None).cast("double").alias("b"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
 
     def step(s, w):
         near = F.coalesce(F.abs(w["y"] - s["b"]) <= reach, F.lit(False))
-        k = F.when(near, s["k"]).otherwise(s["k"] + 1)
         b = F.when(near, s["b"] * (1 - SHARE) + w["y"] * SHARE).otherwise(w["y"])
-        return F.struct(b.alias("b"), k.alias("k"), F.concat(s["ids"], F.array(k)).alias("ids"))
+        return F.struct(b.alias("b"), (s["i"] + 1).alias("i"), F.when(near, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["i"]))).alias("starts"))
 
-    ids = F.aggregate("words", start, step, lambda s: s["ids"])
-    placed = pages.select("doc_id", "page_index", F.explode(F.arrays_zip("words", ids.alias("line"))).alias("z"))
-    placed = placed.select("doc_id", "page_index", F.col("z.line").alias("line"), "z.words.*")
-    out = placed.groupBy("doc_id", "page_index", "line").agg(
-        F.array_sort(F.collect_list(F.struct("x0", "ord", "text"))).alias("w"), F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom")
-    )
-    return out.select("doc_id", "page_index", "line", F.array_join(F.transform("w", lambda v: v["text"]), " ").alias("text"), "x0", "top", "x1", "bottom")
+    pages = pages.withColumn("starts", F.aggregate("words", start, step, lambda s: s["starts"]))
+    pages = pages.select("doc_id", "page_index", "words", F.posexplode("starts").alias("line", "first"), F.concat("starts", F.array(F.size("words"))).alias("starts"))
+    rows = pages.select("doc_id", "page_index", "line", F.slice("words", F.col("first") + 1, F.get("starts", F.col("line") + 1) - F.col("first")).alias("w"))
+    text = F.transform(F.array_sort(F.transform("w", lambda v: F.struct(v["x0"], v["ord"], v["text"].alias("text")))), lambda v: v["text"])
+    each = lambda c: F.transform("w", lambda v: v[c])
+    return rows.select("doc_id", "page_index", "line", F.array_join(text, " ").alias("text"), F.array_min(each("x0")).alias("x0"), F.array_min(each("top")).alias("top"), F.array_max(each("x1")).alias("x1"), F.array_max(each("bottom")).alias("bottom"))
 
 
 def outside_tables(rows: DataFrame, tables: DataFrame) -> DataFrame:
@@ -46,11 +47,13 @@ def outside_tables(rows: DataFrame, tables: DataFrame) -> DataFrame:
 def line_fonts(rows: DataFrame, chars: DataFrame) -> DataFrame:
     """(doc_id, page_index, line, fonts): the different fonts of the characters that overlap a line, in order of appearance.
 
-    A range join made an equality join by the whole part of a character's top.
+    A range join made an equality join by bands about as high as a line. The
+    whole part of a character's top must lie between those of the line's ends.
     """
-    probes = rows.select("doc_id", "page_index", "line", *(F.col(c).alias("l_" + c) for c in ("x0", "top", "x1", "bottom")), F.explode(F.sequence(F.col("top").cast("int"), F.col("bottom").cast("int"))).alias("bucket"))
-    c = chars.withColumn("bucket", F.col("top").cast("int")).where("fontname <> '' and size <> 0")
-    met = probes.join(c, ["doc_id", "page_index", "bucket"]).where("x0 < l_x1 and x1 > l_x0 and top < l_bottom and bottom > l_top")
+    band = lambda c: F.floor(F.col(c) / BAND)
+    probes = rows.select("doc_id", "page_index", "line", *(F.col(c).alias("l_" + c) for c in ("x0", "top", "x1", "bottom")), F.explode(F.sequence(band("top"), band("bottom"))).alias("band"))
+    c = chars.where("fontname <> '' and size <> 0").withColumn("bucket", F.col("top").cast("int")).withColumn("band", band("top"))
+    met = probes.join(c, ["doc_id", "page_index", "band"]).where("x0 < l_x1 and x1 > l_x0 and top < l_bottom and bottom > l_top and bucket between cast(l_top as int) and cast(l_bottom as int)")
     fonts = met.groupBy("doc_id", "page_index", "line", F.col("fontname").alias("name"), F.round("size", 2).alias("size")).agg(F.min(F.struct("bucket", "ord")).alias("first"))
     listed = fonts.groupBy("doc_id", "page_index", "line").agg(F.array_sort(F.collect_list(F.struct("first", "name", "size"))).alias("f"))
     return listed.select("doc_id", "page_index", "line", F.transform("f", lambda v: F.struct(v["name"].alias("name"), v["size"].alias("size"))).alias("fonts"))

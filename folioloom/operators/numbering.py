@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as T
 
 ATTRIBUTES = ("start", "num_fmt", "lvl_text", "lvl_jc")
+#: Levels that a list has in the document format.
+LEVELS = 9
 
 
 def effective_levels(nums: DataFrame, abstract_levels: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -30,36 +31,42 @@ def numbered_paragraphs(paragraphs: DataFrame, style_numbering: DataFrame, level
     return p.join(held, ["doc_id", "use_num", "use_lvl"], "left")
 
 
-def running_numbers(rows: DataFrame) -> DataFrame:
-    """(doc_id, ord, values): for numbered paragraphs the counters of levels 0 to their own.
+def with_numbers(rows: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """Numbered paragraphs with values: the counters of levels 0 to their own.
 
     A level counts from its start and starts anew after a shallower paragraph
-    of the same list: state that runs through a list, so a Python fold, one
-    list of one document at a time.
+    of the same list: its number is the start of the first paragraph since then
+    and how many followed, so running sums over one window tell all levels.
+    Levels that have not come yet show 1.
     """
+    upto = Window.partitionBy("doc_id", "use_num").orderBy("ord")
+    level, start = F.col("use_lvl").cast("int"), F.coalesce(F.expr("try_cast(start as int)"), F.lit(1))
+    ks = range(levels)
+    out = rows.where("use_num is not null").withColumn("_level", level).withColumn("_start", start)
+    out = out.select("*", *(F.count_if(F.col("_level") == k).over(upto).alias(f"_n{k}") for k in ks))
+    # How many came before the last shallower paragraph.
+    out = out.select("*", *(F.coalesce(F.last(F.when(F.col("_level") < k, F.col(f"_n{k}")), ignorenulls=True).over(upto), F.lit(0)).alias(f"_b{k}") for k in ks))
+    first = lambda k: (F.col("_level") == k) & (F.col(f"_n{k}") == F.col(f"_b{k}") + 1)
+    out = out.select("*", *(F.last(F.when(first(k), F.col("_start")), ignorenulls=True).over(upto).alias(f"_s{k}") for k in ks))
+    value = [F.when(F.col(f"_n{k}") > F.col(f"_b{k}"), F.col(f"_s{k}") + F.col(f"_n{k}") - F.col(f"_b{k}") - 1).otherwise(1).cast("int") for k in ks]
+    return out.select(*rows.columns, F.slice(F.array(*value), F.lit(1), F.col("_level") + 1).alias("values"))
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p, counters, out = p.sort_values("ord"), {}, []
-        for level, start in zip(p["use_lvl"].astype(int), pd.to_numeric(p["start"], errors="coerce").fillna(1).astype(int)):
-            counters = {k: v for k, v in counters.items() if k <= level}
-            counters[level] = counters[level] + 1 if level in counters else start
-            out.append([counters.get(k, 1) for k in range(level + 1)])
-        return pd.DataFrame({"doc_id": p["doc_id"], "ord": p["ord"], "values": out})
 
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ord long, values array<int>"
-    return rows.where("use_num is not null").select("doc_id", "use_num", "use_lvl", F.col("ord").cast("long"), "start").groupBy("doc_id", "use_num").applyInPandas(fold, schema)
+def running_numbers(rows: DataFrame) -> DataFrame:
+    """(doc_id, ord, values) of numbered paragraphs."""
+    return with_numbers(rows).select("doc_id", F.col("ord").cast("long").alias("ord"), "values")
 
 
 def prefixes(rows: DataFrame, levels: DataFrame) -> DataFrame:
     """(doc_id, ord, prefix): each level text with its placeholders filled, each in its own level's format; a trailing blank follows."""
-    counted = running_numbers(rows).join(rows.select("doc_id", F.col("ord").cast("long").alias("ord"), "use_num", "lvl_text"), ["doc_id", "ord"])
-    parts = counted.where(F.col("lvl_text").contains("%")).select("doc_id", "ord", "use_num", "lvl_text", F.posexplode("values").alias("k", "value"))
-    form = levels.select("doc_id", F.col("num_id").alias("use_num"), F.col("ilvl").cast("int").alias("k"), "num_fmt")
-    parts = parts.join(form, ["doc_id", "use_num", "k"], "left").withColumn("shown", T.format_number(F.col("value"), F.coalesce("num_fmt", F.lit("decimal"))))
-    grouped = parts.groupBy("doc_id", "ord", "lvl_text").agg(F.map_from_entries(F.collect_list(F.struct("k", "shown"))).alias("m"))
+    form = F.struct(F.col("ilvl").cast("int"), F.coalesce("num_fmt", F.lit("decimal")))
+    forms = levels.where("ilvl is not null").groupBy("doc_id", F.col("num_id").alias("use_num")).agg(F.map_from_entries(F.collect_set(form)).alias("forms"))
+    counted = with_numbers(rows).where(F.col("lvl_text").contains("%")).join(forms, ["doc_id", "use_num"], "left")
     pieces = F.regexp_extract_all("lvl_text", F.lit(r"(%\d|[^%]+|%)"), F.lit(1))
-    filled = F.transform(pieces, lambda x: F.when(x.rlike(r"^%\d$"), F.coalesce(F.try_element_at(F.col("m"), F.substring(x, 2, 1).cast("int") - 1), F.lit(""))).otherwise(x))
-    return grouped.select("doc_id", "ord", F.concat(F.array_join(filled, ""), F.lit(" ")).alias("prefix"))
+    place = lambda x: F.substring(x, 2, 1).cast("int") - 1
+    shown = lambda k: T.format_number(F.get("values", k), F.coalesce(F.try_element_at("forms", k), F.lit("decimal")))
+    filled = F.transform(pieces, lambda x: F.when(x.rlike(r"^%\d$"), F.when(place(x).between(0, F.size("values") - 1), shown(place(x))).otherwise("")).otherwise(x))
+    return counted.select("doc_id", F.col("ord").cast("long").alias("ord"), F.concat(F.array_join(filled, ""), F.lit(" ")).alias("prefix"))
 
 
 def has_numbering(rows: DataFrame) -> DataFrame:

@@ -119,30 +119,34 @@ def tidy_spaces(spark, sf_dir):
     return rows.select("conv_id", "turn", T.tidy_spaces(F.col("text")).alias("text"))
 
 
-@query("SELECT conv_id, turn, array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+(?:\\s+[A-Za-z0-9]+)*|\\S'), '') AS text FROM (SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS text FROM conversations)")
+@query(
+    """WITH c AS (SELECT conv_id, turn, string_split(regexp_replace(text, '\\p{C}', '', 'g'), '') AS ch FROM conversations),
+p AS (SELECT conv_id, turn, array_to_string(list_filter(ch, lambda x, i: NOT (regexp_matches(x, '\\p{P}') AND i > 1 AND x = ch[i - 1])), '') AS t FROM c)
+SELECT conv_id, turn, array_to_string(regexp_extract_all(t, '[A-Za-z0-9]+(?:\\s+[A-Za-z0-9]+)*|\\S'), '') AS text FROM p"""
+)
 def normalize(spark, sf_dir):
-    """The letters come in full width, with soft hyphens and fourfold blanks' neighbours untouched."""
+    """Whole texts, every character but white space fourfold, small letters in full width, soft hyphens between them."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    wide = "".join(chr(ord(c) + 0xFEE0) for c in "abcdefghijklmnopqrstuvwxyz")
-    plain = F.regexp_replace("text", "[^A-Za-z ]", "")
-    return rows.select("conv_id", "turn", T.tidy_spaces(T.drop_controls(T.nfkc(F.translate(plain, "abcdefghijklmnopqrstuvwxyz", wide)))).alias("text"))
+    small = "abcdefghijklmnopqrstuvwxyz"
+    fourfold = F.translate(F.regexp_replace("text", r"(\S)", "$1$1$1$1"), small, "".join(chr(ord(c) + 0xFEE0) for c in small))
+    return rows.select("conv_id", "turn", T.normalize(F.regexp_replace(fourfold, "([aeiou\uff45])", "$1\u00ad")).alias("text"))
 
 
 @query(
     SQL_LINES
     + """, p AS (SELECT DISTINCT doc_id, CAST(floor(line_no / 20) AS INTEGER) AS page_index FROM lines),
-f AS (SELECT doc_id, page_index, CAST((doc_id + page_index) % 8 AS INTEGER) AS form FROM p)
-SELECT doc_id, page_index, form, form < 6 AS is_page, form IN (0, 1, 2, 3, 4, 6, 7) AS is_number FROM f"""
+f AS (SELECT doc_id, page_index, CAST((doc_id + page_index) % 9 AS INTEGER) AS form FROM p)
+SELECT doc_id, page_index, form, form < 6 AS is_page, form < 8 AS is_number FROM f"""
 )
 def page_numbers(spark, sf_dir):
-    """A footer for every page of twenty lines, in eight forms: five page numbers at the foot, one not numbered like one at all counts still, two out of place."""
+    """A footer for every page of twenty lines, in nine forms: six page numbers at the foot, two out of place, and one that is no number."""
     pages = doc_lines(spark, sf_dir).select("doc_id", F.floor(F.col("line_no") / 20).cast("int").alias("page_index")).distinct()
-    pages = pages.withColumn("form", ((F.col("doc_id") + F.col("page_index")) % 8).cast("int")).withColumn("p", (F.col("page_index") + 1).cast("string"))
-    texts = [F.concat(F.lit("第"), "p", F.lit("页")), F.concat(F.lit("Page "), "p"), F.concat(F.lit("- "), "p", F.lit(" -")), F.concat("p", F.lit(" / 90")), F.lit("xiv"), F.concat(F.lit(" P. "), "p"), F.col("p"), F.lit("I / X")]
+    pages = pages.withColumn("form", ((F.col("doc_id") + F.col("page_index")) % 9).cast("int")).withColumn("p", (F.col("page_index") + 1).cast("string"))
+    texts = [F.concat(F.lit("第"), "p", F.lit("页")), F.concat(F.lit("Page "), "p"), F.concat(F.lit("- "), "p", F.lit(" -")), F.concat("p", F.lit(" / 90")), F.lit("xiv"), F.concat(F.lit(" P. "), "p"), F.col("p"), F.lit("I / X"), F.lit("closing words")]
     text = F.element_at(F.array(*texts), F.col("form") + 1)
-    foot = F.when(F.col("form") < 6, 800.0).otherwise(400.0)
+    foot = F.when(F.col("form").isin(6, 7), 400.0).otherwise(800.0)
     rows = pages.select("doc_id", "page_index", "form", text.alias("text"), foot.alias("bottom"), F.lit(842.0).alias("page_height"), F.lit(False).alias("is_image"), F.lit(False).alias("is_table"))
-    return lines.route_page_numbers(rows).select("doc_id", "page_index", "form", "is_page", (T.is_page_number_paragraph(F.col("text")) & (F.col("form") != 5)).alias("is_number"))
+    return lines.route_page_numbers(rows).select("doc_id", "page_index", "form", "is_page", T.is_page_number_paragraph(F.col("text")).alias("is_number"))
 
 
 NUMBERED = "(line_no % 13) < (doc_id % 4) + 1"
@@ -491,6 +495,24 @@ def has_numbering(spark, sf_dir):
     return numbering.has_numbering(paragraph_tables(spark, sf_dir)[0])
 
 
+@query(
+    SQL_LINES
+    + """, p AS (SELECT doc_id, line_no AS ord, CAST(line_no % 5 < 3 AS INTEGER) AS num, [0, 1, 1, 2, 0, 2, 1][line_no % 7 + 1] AS lvl FROM lines),
+k AS (SELECT p.*, unnest(range(0, lvl + 1)) AS k FROM p),
+s AS (SELECT k.doc_id, k.ord, k.k, (SELECT coalesce(max(o.ord), -1) FROM p o WHERE o.doc_id = k.doc_id AND o.num = k.num AND o.lvl < k.k AND o.ord < k.ord) AS since, k.num FROM k),
+c AS (SELECT s.doc_id, s.ord, s.k, (SELECT count(*) FROM p o WHERE o.doc_id = s.doc_id AND o.num = s.num AND o.lvl = s.k AND o.ord > s.since AND o.ord <= s.ord) AS n FROM s)
+SELECT doc_id, CAST(ord AS BIGINT) AS ord, string_agg(CAST(CASE WHEN n > 0 THEN k + n ELSE 1 END AS VARCHAR), '.' ORDER BY k) || '. ' AS prefix FROM c GROUP BY doc_id, ord"""
+)
+def level_prefixes(spark, sf_dir):
+    """Two lists in every document, of three levels that start from 1, 2 and 3 and begin anew after shallower paragraphs."""
+    level = F.element_at(F.array(*map(F.lit, (0, 1, 1, 2, 0, 2, 1))), F.col("line_no") % 7 + 1)
+    rows = doc_lines(spark, sf_dir).select("doc_id", F.col("line_no").alias("ord"), (F.col("line_no") % 5 < 3).cast("int").cast("string").alias("use_num"), level.alias("l"))
+    text = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.col("l") + 1), lambda k: F.concat(F.lit("%"), k.cast("string"))), "."), F.lit("."))
+    rows = rows.select("doc_id", "ord", "use_num", F.col("l").cast("string").alias("use_lvl"), (F.col("l") + 1).cast("string").alias("start"), text.alias("lvl_text"))
+    levels = docs(spark, sf_dir).select("doc_id", F.explode(F.array(F.lit("0"), F.lit("1"))).alias("num_id")).select("*", F.explode(F.array(*map(F.lit, "012"))).alias("ilvl"), F.lit("decimal").alias("num_fmt"))
+    return numbering.prefixes(rows, levels)
+
+
 #: Of a column text of small letters: left to right, four equal ones become one.
 SQL_FOURFOLD = functools.reduce(lambda x, c: f"replace({x}, '{c * 4}', '{c}')", string.ascii_lowercase, "text")
 
