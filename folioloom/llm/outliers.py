@@ -31,6 +31,8 @@ LEAST = 50
 H, STEPS, FALL = 0.75, 2, 1e-3
 #: Bins a unit of a statistic, and of the logarithm of 1 + a squared distance.
 FINE, FAR = 1024, 4096
+#: Bins of a wide one.
+WIDE = 256
 #: Mean of the squares of a standard normal vector's entry within the h nearest, five dimensions.
 SHRUNK = 0.634
 #: Squared distance beyond which a document is rejected: about the 1 - 1e-11 quantile of five squares.
@@ -112,11 +114,18 @@ def _with_distance(rows: DataFrame, estimates: DataFrame, keep: list[str], how:
 
 
 def _ranked(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """From rows (keys, bin): the first bin up to which a key has the share of its rows, or more."""
-    bins = rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    """From rows (keys, bin): the first bin up to which a key has the share of its rows, or more.
+
+    Sums run over wide bins first, then over the bins of the one in which the
+    share is reached, so that no task orders all bins of a key.
+    """
+    bins = written(rows.groupBy(*keys, "bin").agg(F.count("*").alias("n")), "bins").withColumn("wide", F.floor(F.col("bin") / WIDE))
     own = Window.partitionBy(*keys)
-    bins = bins.withColumn("upto", F.sum("n").over(own.orderBy("bin"))).withColumn("all", F.sum("n").over(own))
-    return bins.where(F.col("upto") >= share * F.col("all")).groupBy(*keys).agg(F.min("bin").alias("bin"))
+    wide = bins.groupBy(*keys, "wide").agg(F.sum("n").alias("n"))
+    wide = wide.withColumn("before", F.sum("n").over(own.orderBy("wide")) - F.col("n")).withColumn("need", share * F.sum("n").over(own) - F.col("before"))
+    reached = wide.where("n >= need").groupBy(*keys).agg(F.min_by(F.struct("wide", "need"), "wide").alias("w")).select(*keys, "w.*")
+    inside = bins.join(joinable(written(reached, "reached")), [*keys, "wide"]).withColumn("upto", F.sum("n").over(own.orderBy("bin")))
+    return inside.where("upto >= need").groupBy(*keys).agg(F.min("bin").alias("bin"))
 
 
 def _moments(rows: DataFrame) -> DataFrame:
