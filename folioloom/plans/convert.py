@@ -27,31 +27,32 @@ def convert_layout(words: DataFrame, tables: DataFrame, pictures: DataFrame, cha
 def convert_pdf(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, tables: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Lines of all PDF files at path, and the status of every file there.
 
-    Pages first to last, counted from 1. Table boxes are not found in the
-    files; they may be given, as convert_layout wants them.
+    Pages first to last, counted from 1. Tables are those that rules draw,
+    unless others are given, as convert_layout wants them.
     """
     found = files.files(spark, path)
     rows = pdf.layout(found)
     errors = rows.where("kind = 'error'").select("path", "error")
     shown = layout.page_range(rows, first, last)
     if tables is None:
-        tables = spark.createDataFrame([], "doc_id string, page_index int, table_idx int, x0 double, top double, x1 double, bottom double, cells array<array<string>>")
+        tables = pdf.tables(shown)
     chars = pdf.chars(shown)
     out = convert_layout(pdf.words(chars), tables, pdf.images(shown), chars, pdf.pages(shown))
     return out, files.status(found.select("path", "doc_type").join(errors, "path", "left"))
 
 
 def convert_docx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Items of all documents at path, and the status of every file there."""
+    """Items of all documents at path, and the status of every file there; lists count on through table cells."""
     found = files.files(spark, path)
     rows, parts = docx.body(found), docx.parts(found)
     nums, levels, over, styles = docx.numbering_tables(parts)
     held = numbering.effective_levels(nums, levels, over)
-    paragraphs = rows.where("kind = 'p' and in_body").select(F.col("path").alias("doc_id"), "ord", F.col("style").alias("style_id"), "num_id", "ilvl")
+    paragraphs = rows.where("kind = 'p'").select(F.col("path").alias("doc_id"), "ord", F.col("style").alias("style_id"), "num_id", "ilvl")
     numbered = numbering.numbered_paragraphs(paragraphs, styles, held)
     kept = images.without_stamps(docx.images(rows, parts))
     items = docx.items(rows, kept, numbering.prefixes(numbered, held))
-    errors = rows.where("kind = 'error'").select("path", "error")
+    errors = rows.where("kind = 'error'").select("path", "error").unionByName(parts.where("part = 'error'").select("path", F.col("a").alias("error")))
+    errors = errors.groupBy("path").agg(F.min("error").alias("error"))
     return items, files.status(found.select("path", "doc_type").join(errors, "path", "left"))
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioloom.plans import convert
+from folioloom.operators import layout
 from folioloom.sinks import render
+from folioloom.sources import files, pdf
 
 
 def detect_file_type(path: str) -> str:
@@ -36,8 +38,8 @@ def item_lines(items: DataFrame) -> DataFrame:
     return kept.select("doc_id", (F.row_number().over(order) - 1).alias("line_index"), F.col("content").alias("value"), "element_index")
 
 
-def _write(spark: SparkSession, kind: str, path: str, out: str, first: int | None, last: int | None) -> None:
-    """text, metadata (or index) and pages below out; raises RuntimeError where the file cannot be read."""
+def _write(spark: SparkSession, kind: str, path: str, out: str, first: int | None, last: int | None) -> dict[str, int]:
+    """text, metadata (or index), pages and tables below out, and how many rows each has; raises RuntimeError where the file cannot be read."""
     rows, status = convert.convert_pdf(spark, path, first, last) if kind == "pdf" else convert.convert_docx(spark, path)
     failed = status.where("not success").select("error").first()
     if failed:
@@ -45,6 +47,9 @@ def _write(spark: SparkSession, kind: str, path: str, out: str, first: int | Non
     if kind == "pdf":
         body = rows.where("not is_page")
         parts = {"text": render.text_lines(body), "metadata": render.metadata(body), "pages": render.page_lines(rows)}
+        drawn = pdf.tables(layout.page_range(pdf.layout(files.files(spark, path)), first, last)).withColumn("page", F.col("page_index") + 1)
+        order = Window.partitionBy("doc_id").orderBy("page", "table_idx")
+        parts["tables"] = drawn.select("doc_id", (F.row_number().over(order) - 1).alias("line_index"), render.table_json(F.col("cells")).alias("value"))
     else:
         lines = item_lines(rows)
         order = Window.partitionBy("doc_id").orderBy("element_index", "item_pos")
@@ -53,22 +58,23 @@ def _write(spark: SparkSession, kind: str, path: str, out: str, first: int | Non
         parts = {"text": lines.select("doc_id", "line_index", "value"), "index": index, "pages": numbers}
     for name, part in parts.items():
         render.write_files(part, f"{out}/{name}")
+    return {name: part.count() for name, part in parts.items()}
 
 
-def convert_document(spark: SparkSession, path: str, out: str, first: int | None = None, last: int | None = None) -> None:
-    """Converts the file at path into folders below out; first and last bound the pages of a PDF file.
+def convert_document(spark: SparkSession, path: str, out: str, first: int | None = None, last: int | None = None) -> dict[str, int]:
+    """Converts the file at path into folders below out; first and last bound the pages of a PDF file. Returns the rows of each.
 
     Raises FileNotFoundError, ValueError for other types, and RuntimeError for
     a file that cannot be read. For many files use plans.convert on a folder.
     """
-    _write(spark, _preflight(spark, path), path, out, first, last)
+    return _write(spark, _preflight(spark, path), path, out, first, last)
 
 
 async def aconvert_document(spark: SparkSession, path: str, out: str, first: int | None = None, last: int | None = None) -> dict:
-    """The same, awaitable: file_path, success, output and error. What can be told beforehand is raised."""
+    """The same, awaitable: file_path, success, output, error and counts. What can be told beforehand is raised."""
     kind = _preflight(spark, path)
     try:
-        await asyncio.to_thread(_write, spark, kind, path, out, first, last)
+        counts = await asyncio.to_thread(_write, spark, kind, path, out, first, last)
     except Exception as e:  # noqa: BLE001  reported to the caller
-        return {"file_path": path, "success": False, "output": None, "error": str(e)}
-    return {"file_path": path, "success": True, "output": out, "error": None}
+        return {"file_path": path, "success": False, "output": None, "error": str(e), "counts": None}
+    return {"file_path": path, "success": True, "output": out, "error": None, "counts": counts}

@@ -121,7 +121,7 @@ def body(found: DataFrame) -> DataFrame:
 
 
 def parts(found: DataFrame) -> DataFrame:
-    return _scan(found, read_parts, PARTS, lambda e: [])
+    return _scan(found, read_parts, PARTS, lambda e: [{"part": "error", "a": f"{type(e).__name__}: {e}"}])
 
 
 def numbering_tables(found_parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

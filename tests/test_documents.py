@@ -85,6 +85,21 @@ def test_docx(spark, folder):
     assert {r["file_path"].rpartition("/")[2]: r["success"] for r in status.collect()} == {"one.docx": True, "two.docx": True, "bad.docx": False, "x.txt": False}
 
 
+def test_lists_through_cells_and_broken_parts(spark, tmp_path):
+    cell = "<w:tbl><w:tr><w:tc>" + paragraph("in a cell", number=(3, 0)) + "</w:tc></w:tr></w:tbl>"
+    whole = document(paragraph("head", number=(3, 0)), cell, paragraph("next", number=(3, 0)))
+    (tmp_path / "cells.docx").write_bytes(whole)
+    broken = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(whole)) as old, zipfile.ZipFile(broken, "w") as new:
+        new.writestr("word/document.xml", old.read("word/document.xml"))
+        new.writestr("word/numbering.xml", "<not closed")
+    (tmp_path / "broken.docx").write_bytes(broken.getvalue())
+    items, status = convert.convert_docx(spark, str(tmp_path))
+    got = [r["content"] for r in items.where("doc_id like '%cells.docx'").orderBy("element_index", "item_pos").collect()]
+    assert got == ["1.head", "{{table_1}}", "3.next"]
+    assert {r["file_path"].rpartition("/")[2]: r["success"] for r in status.collect()} == {"cells.docx": True, "broken.docx": False}
+
+
 def test_contents_entries(spark, folder):
     rows = docx.body(files.files(spark, str(folder))).where("kind = 'p'").withColumnRenamed("path", "doc_id")
     got = contents.entries(rows).orderBy("ord").collect()

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import time
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from folioloom import __main__ as cli
 from folioloom.plans import convert
-from folioloom.sources import files, pdf
+from folioloom.sources import files, pdf, precheck
 
 
 def pdf_file(pages: list[bytes], packed: bool = False) -> bytes:
@@ -83,3 +86,63 @@ def test_convert(spark, tmp_path):
     assert sorted(r["n_pages"] for r in counts.collect()) == [1, 2]
     fonts = rows.where(F.col("text") == "Hello world").first()["fonts"]
     assert [(f["name"], f["size"]) for f in fonts] == [("Helvetica", 10.0)]
+
+
+RULED = b"50 500 200 100 re S 150 500 m 150 600 l S 50 550 m 150 550 l S BT /F1 10 Tf 1 0 0 1 60 570 Tm (a b) Tj 0 -50 Td (c) Tj 100 30 Td (d) Tj 0 -100 Td (out) Tj ET 400 100 50 50 re f"
+
+
+def test_tables():
+    (table,) = [r for r in pdf.read_layout(pdf_file([RULED])) if r["kind"] == "table"]
+    assert (table["x0"], table["x1"], table["top"], table["bottom"]) == pytest.approx((50, 250, 200, 300))
+    assert table["cells"] == [["a b", "d"], ["c", None]]
+    # Thin filled boxes are rules, and ends that miss a crossing by little still meet it.
+    thin = b"".join(b"50 %d 202 0.5 re f " % y for y in (100, 150, 200)) + b"".join(b"%d 101 0.5 98 re f " % x for x in (50, 150, 250))
+    (table,) = [r for r in pdf.read_layout(pdf_file([thin])) if r["kind"] == "table"]
+    assert table["cells"] == [["", ""], ["", ""]]
+    assert pdf.ruled_tables([(0, 0, 10, 0), (0, 0, 0, 10), (5, 0, 5, 10)]) == []
+
+
+def test_filters():
+    def one(data, head):
+        f = pdf.File(b"%PDF-1.5\n1 0 obj\n<</Length " + str(len(data)).encode() + head + b">>\nstream\n" + data + b"\nendstream\nendobj\n")
+        return f.stream(pdf.Ref(1))
+
+    assert one(b"68 69>", b"/Filter/ASCIIHexDecode") == b"hi"
+    assert one(b"BOu!r~>", b"/Filter[/ASCII85Decode]") == b"hell"
+    rows = bytes([0, 1, 2, 3, 1, 5, 1, 1, 2, 1, 1, 1, 3, 2, 2, 2, 4, 1, 1, 1])
+    want = bytes([1, 2, 3, 5, 6, 7, 6, 7, 8, 5, 8, 10, 6, 9, 11])
+    assert one(zlib.compress(rows), b"/Filter/FlateDecode/DecodeParms<</Predictor 15/Columns 3>>") == want
+    with pytest.raises(ValueError, match="unknown filter"):
+        one(b"x", b"/Filter/JBIG2Decode")
+
+
+def test_precheck(spark, tmp_path, monkeypatch):
+    plain, packed = pdf_file([FIRST]), pdf_file([SECOND], True)
+    for name, content in {"plain": plain, "packed": packed, "none": pdf_file([]), "bad": b"no such file"}.items():
+        (tmp_path / f"{name}.pdf").write_bytes(content)
+    (tmp_path / "good.pdf").write_bytes(precheck.mended(packed))
+    got = {r["path"].rpartition("/")[2]: r for r in precheck.checked(files.files(spark, str(tmp_path))).collect()}
+    assert {k: r["state"] for k, r in got.items()} == {"plain.pdf": "repaired", "packed.pdf": "repaired", "none.pdf": "degraded", "bad.pdf": "degraded", "good.pdf": "ok"}
+    for name, content in (("plain.pdf", plain), ("packed.pdf", packed)):
+        again = bytes(got[name]["content"])
+        assert precheck.problem(again) is None and pdf.read_layout(again) == pdf.read_layout(content)
+        # The appended table tells where each object stands.
+        f = pdf.File(again)
+        own = max(f.objects)
+        table = f.stream(pdf.Ref(own))
+        for n, (at, _) in f.places.items():
+            assert table[13 * n] == 1 and int.from_bytes(table[13 * n + 1 : 13 * n + 9]) == at
+    monkeypatch.setattr(pdf, "File", lambda content: time.sleep(2))
+    assert "seconds" in precheck.problem(plain, 0.1)
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(pdf_file([RULED]))
+    assert cli.main(["convert", str(tmp_path / "a.pdf"), str(tmp_path / "out"), "--first", "1"], spark) == 0
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "out/text"), recursiveFileLookup=True).collect()] == ["{{table_1_1}}", "out"]
+    assert [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out/tables"), recursiveFileLookup=True).collect()] == [{"data": [["a b", "d"], ["c", None]], "rows": 2, "cols": 2}]
+    assert cli.main(["check", str(tmp_path / "a.pdf")], spark) == 1
+    assert cli.main(["repair", str(tmp_path / "a.pdf"), str(tmp_path / "b.pdf")]) == 0
+    assert cli.main(["check", str(tmp_path / "b.pdf")], spark) == 0
+    assert cli.main(["convert", str(tmp_path / "no.pdf"), str(tmp_path / "x")], spark) == 1
+    assert cli.unused("docx", 1, None) == ["--first"] and cli.unused("pdf", 1, 2) == []
