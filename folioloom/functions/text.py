@@ -155,6 +155,11 @@ def percent_numbers(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(r"%(\d+)"), F.lit(1)), lambda x: x.cast("int"))
 
 
+def max_placeholder(c: Column) -> Column:
+    """The greatest level that a level text names, null where it names none."""
+    return F.array_max(percent_numbers(c))
+
+
 def number_depth(c: Column) -> Column:
     """Parts of the dotted number a heading starts with; 1 for a Han numeral; else null."""
     dotted = F.regexp_extract(c, r"^(\d+(?:\.\d+)*)", 1)

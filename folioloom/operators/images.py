@@ -28,22 +28,29 @@ def red_share(pixels) -> float:
 
 @pandas_udf(BooleanType())
 def is_red(blobs: pd.Series) -> pd.Series:
-    """Whether a third or so of an image is red; false where no decoder is installed or none can read it."""
+    """Whether a third or so of an image is red; null where no decoder is installed or none can read it."""
     try:
         import numpy as np
         from PIL import Image
     except ImportError:
-        return pd.Series([False] * len(blobs))
+        return pd.Series([None] * len(blobs), dtype=object)
 
     def red(blob):
         try:
-            return red_share(np.asarray(Image.open(io.BytesIO(blob)).convert("RGB"))) >= 0.3
+            return bool(red_share(np.asarray(Image.open(io.BytesIO(blob)).convert("RGB"))) >= 0.3)
         except Exception:
-            return False
+            return None
 
-    return blobs.map(red)
+    return pd.Series([red(b) for b in blobs], dtype=object)
 
 
 def without_stamps(images: DataFrame) -> DataFrame:
-    """images (width, height, blob) that are neither square nor red."""
-    return images.where(~is_square(F.col("width"), F.col("height"))).where(~is_red(F.col("blob")))
+    """images (width, height, blob) that are neither square nor known to be red."""
+    return images.where(~is_square(F.col("width"), F.col("height"))).where(~F.coalesce(is_red(F.col("blob")), F.lit(False)))
+
+
+def diagnosis(images: DataFrame) -> DataFrame:
+    """images with what is known of each instead of its blob: n_bytes, ratio of sides, is_square, is_red (null: not decoded) and kept."""
+    known = images.withColumn("n_bytes", F.length("blob").cast("long")).withColumn("ratio", F.try_divide(F.col("width"), F.col("height")))
+    known = known.withColumn("is_square", is_square(F.col("width"), F.col("height"))).withColumn("is_red", is_red(F.col("blob"))).drop("blob")
+    return known.withColumn("kept", ~(F.col("is_square") | F.coalesce("is_red", F.lit(False))))

@@ -533,3 +533,12 @@ def layout_lines(spark, sf_dir):
     chars = w.select("doc_id", "page_index", "ord", F.lit("F").alias("fontname"), F.lit(9.0).alias("size"), "x0", "x1", "top", "bottom")
     sizes = page.withColumn("width", F.lit(595.0)).withColumn("height", F.lit(9999.0))
     return convert.convert_layout(w.drop("line_no"), tables, pictures, chars, sizes).select("doc_id", "page_index", "line_index", "text")
+
+
+@query("""SELECT doc_id, CAST(doc_id % 9 + 1 AS VARCHAR) || '.' || CAST(doc_id % 7 + 1 AS VARCHAR) AS levels, CAST(greatest(doc_id % 9, doc_id % 7) + 1 AS INTEGER) AS last_level FROM documents WHERE doc_id % 4 > 0
+UNION ALL SELECT doc_id, '', NULL FROM documents WHERE doc_id % 4 = 0""")
+def placeholders(spark, sf_dir):
+    """Level texts of two placeholders, and bullets."""
+    two = F.concat(F.lit("%"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(".%"), (F.col("doc_id") % 7 + 1).cast("string"), F.lit(")"))
+    shown = docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 4 > 0, two).otherwise("•").alias("lvl_text"))
+    return shown.select("doc_id", F.array_join(T.percent_numbers(F.col("lvl_text")).cast("array<string>"), ".").alias("levels"), T.max_placeholder(F.col("lvl_text")).alias("last_level"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as T
-from folioloom.operators import contents
+from folioloom.operators import contents, images
 from folioloom.plans import convert, documents
 from folioloom.sources import docx, files
 from folioloom.streaming import landing
@@ -100,6 +100,13 @@ def test_lists_through_cells_and_broken_parts(spark, tmp_path):
     assert {r["file_path"].rpartition("/")[2]: r["success"] for r in status.collect()} == {"cells.docx": True, "broken.docx": False}
 
 
+def test_image_diagnosis(spark):
+    rows = spark.createDataFrame([(0, 100, 101, bytearray(b"no image")), (1, 100, 300, bytearray(b"")), (2, 10, 0, None)], "element_index int, width long, height long, blob binary")
+    got = {r["element_index"]: r.asDict() for r in images.diagnosis(rows).collect()}
+    assert [(got[k]["n_bytes"], got[k]["is_square"], got[k]["is_red"], got[k]["kept"]) for k in range(3)] == [(8, True, None, False), (0, False, None, True), (None, False, None, True)]
+    assert [r["element_index"] for r in images.without_stamps(rows).orderBy("element_index").collect()] == [1, 2]
+
+
 def test_contents_entries(spark, folder):
     rows = docx.body(files.files(spark, str(folder))).where("kind = 'p'").withColumnRenamed("path", "doc_id")
     got = contents.entries(rows).orderBy("ord").collect()
