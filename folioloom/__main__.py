@@ -1,4 +1,4 @@
-"""Command line: python -m folioloom convert | contents | check | repair."""
+"""Command line: python -m folioloom convert | contents | rewrite | check | repair."""
 
 from __future__ import annotations
 
@@ -24,6 +24,11 @@ def arguments() -> argparse.ArgumentParser:
     contents.add_argument("path")
     contents.add_argument("out")
     contents.add_argument("--json", action="store_true")
+    rewrite = commands.add_parser("rewrite", help="a word-processing document with bookmarks, and list numbers as text")
+    rewrite.add_argument("path")
+    rewrite.add_argument("out")
+    rewrite.add_argument("--no-bookmarks", action="store_true")
+    rewrite.add_argument("--keep-numbering", action="store_true")
     check = commands.add_parser("check", help="whether PDF files can be read")
     check.add_argument("path")
     check.add_argument("--timeout", type=float, default=10.0)
@@ -66,6 +71,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                     render.write_files(render.contents_json(entries), args.out, "doc_id")
                 else:
                     render.write_files(render.contents_text(entries), args.out, "ord")
+            case "rewrite":
+                documents.rewrite_document(spark, args.path, args.out, not args.no_bookmarks, not args.keep_numbering)
             case "check":
                 bad = 0
                 for row in precheck.checked(files.files(spark, args.path), args.timeout).select("path", "state", "error").toLocalIterator():

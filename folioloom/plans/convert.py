@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioloom.functions import text as T
 from folioloom.operators import contents, images, layout, lines, numbering
+from folioloom.sinks import rewrite
 from folioloom.sources import docx, files, pdf
 
 
@@ -41,16 +42,29 @@ def convert_pdf(spark: SparkSession, path: str, first: int | None = None, last:
     return out, files.status(found.select("path", "doc_type").join(errors, "path", "left"))
 
 
+def list_prefixes(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc_id, ord, prefix) of the numbered paragraphs of scanned documents; lists count on through table cells."""
+    nums, levels, over, styles = docx.numbering_tables(parts)
+    held = numbering.effective_levels(nums, levels, over)
+    paragraphs = rows.where("kind = 'p'").select(F.col("path").alias("doc_id"), "ord", F.col("style").alias("style_id"), "num_id", "ilvl")
+    return numbering.prefixes(numbering.numbered_paragraphs(paragraphs, styles, held), held)
+
+
+def rewrite_docx(spark: SparkSession, path: str, bookmarks: bool = True, static_numbers: bool = True) -> DataFrame:
+    """(path, content, error) of all documents at path, with a bookmark at each element that yields content, and list numbers as text."""
+    found = files.files(spark, path)
+    rows, parts = docx.body(found), docx.parts(found)
+    numbers = list_prefixes(rows, parts) if static_numbers else None
+    items = docx.items(rows, images.without_stamps(docx.images(rows, parts)), list_prefixes(rows, parts)) if bookmarks else None
+    return rewrite.rewrite(found, items, numbers)
+
+
 def convert_docx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Items of all documents at path, and the status of every file there; lists count on through table cells."""
     found = files.files(spark, path)
     rows, parts = docx.body(found), docx.parts(found)
-    nums, levels, over, styles = docx.numbering_tables(parts)
-    held = numbering.effective_levels(nums, levels, over)
-    paragraphs = rows.where("kind = 'p'").select(F.col("path").alias("doc_id"), "ord", F.col("style").alias("style_id"), "num_id", "ilvl")
-    numbered = numbering.numbered_paragraphs(paragraphs, styles, held)
     kept = images.without_stamps(docx.images(rows, parts))
-    items = docx.items(rows, kept, numbering.prefixes(numbered, held))
+    items = docx.items(rows, kept, list_prefixes(rows, parts))
     errors = rows.where("kind = 'error'").select("path", "error").unionByName(parts.where("part = 'error'").select("path", F.col("a").alias("error")))
     errors = errors.groupBy("path").agg(F.min("error").alias("error"))
     return items, files.status(found.select("path", "doc_type").join(errors, "path", "left"))

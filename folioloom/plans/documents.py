@@ -70,6 +70,17 @@ def convert_document(spark: SparkSession, path: str, out: str, first: int | None
     return _write(spark, _preflight(spark, path), path, out, first, last)
 
 
+def rewrite_document(spark: SparkSession, path: str, out: str, bookmarks: bool = True, static_numbers: bool = True) -> None:
+    """Writes the document at path to the new file out, with bookmarks and list numbers as text. Raises as convert_document does."""
+    if _preflight(spark, path) != "docx":
+        raise ValueError(f"not a word-processing document: {path}")
+    made = convert.rewrite_docx(spark, path, bookmarks, static_numbers).first()
+    if made["error"]:
+        raise RuntimeError(f"{path}: {made['error']}")
+    with open(out, "xb") as f:
+        f.write(made["content"])
+
+
 async def aconvert_document(spark: SparkSession, path: str, out: str, first: int | None = None, last: int | None = None) -> dict:
     """The same, awaitable: file_path, success, output, error and counts. What can be told beforehand is raised."""
     kind = _preflight(spark, path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import asyncio
 import io
+import re
 import zipfile
 
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from folioloom.functions import text as T
 from folioloom.operators import contents, images
 from folioloom.plans import convert, documents
+from folioloom.sinks import rewrite
 from folioloom.sources import docx, files
 from folioloom.streaming import landing
 
@@ -113,6 +115,38 @@ def test_contents_entries(spark, folder):
     assert [(r["level"], r["text"], r["page"]) for r in got] == [(1, "Intro", "1"), (2, "More", "4")]
 
 
+def test_rewrite(spark, folder, tmp_path_factory):
+    """Read again, a rewritten document has the same items, without numbering; a bookmark for each element but page numbers."""
+    out = tmp_path_factory.mktemp("rewritten")
+    for row in convert.rewrite_docx(spark, str(folder)).collect():
+        name = row["path"].rpartition("/")[2]
+        assert (row["error"] is None) == (name != "bad.docx")
+        if row["content"]:
+            (out / name).write_bytes(row["content"])
+    rows = lambda path: sorted((r["doc_id"].rpartition("/")[2], r["element_index"], r["item_pos"], r["type"], r["content"]) for r in convert.convert_docx(spark, str(path))[0].collect())
+    assert rows(out) == rows(folder)
+    xml = zipfile.ZipFile(out / "one.docx").read("word/document.xml").decode()
+    assert "numPr" not in xml and re.findall('w:name="(index_[0-9]+)"', xml) == [f"index_{k}" for k in (0, 1, 2, 3, 5, 6)]
+    assert docx.body(files.files(spark, str(out))).where("num_id is not null").count() == 0
+    twice = rewrite.rewritten((out / "one.docx").read_bytes(), marked=[0])
+    assert zipfile.ZipFile(io.BytesIO(twice)).read("word/document.xml").count(b"bookmarkStart") == 1
+    documents.rewrite_document(spark, f"{folder}/one.docx", f"{out}/new.docx", bookmarks=False)
+    assert b"bookmark" not in zipfile.ZipFile(out / "new.docx").read("word/document.xml")
+    (folder / "y.pdf").write_bytes(b"")
+    with pytest.raises(ValueError, match="not a word"):
+        documents.rewrite_document(spark, f"{folder}/y.pdf", f"{out}/z")
+
+
+def test_prefix_behind_a_break_and_formats():
+    run = '<w:r><w:rPr><w:b/></w:rPr><w:t>x</w:t></w:r>'
+    page = '<w:p><w:r><w:br w:type="page"/></w:r>' + run + "</w:p>"
+    cells = "<w:tbl><w:tr><w:tc><w:p/></w:tc></w:tr></w:tbl>"
+    made = zipfile.ZipFile(io.BytesIO(rewrite.rewritten(document(page, f"<w:p>{run}</w:p>", "<w:p/>", cells), [0, 2, 3], {0: "1. ", 1: "2. "}))).read("word/document.xml").decode()
+    assert made.count("<w:rPr><w:b/></w:rPr>") == 3 and made.index("w:br") < made.index("1. ") < made.index("2. ")
+    assert docx.read_body(rewrite.rewritten(document(page), None, {0: "1. "}))[0]["text"] == "1. x"
+    assert re.findall('w:name="(index_[0-9]+)"', made) == ["index_0", "index_2", "index_3"]
+
+
 def test_landing(spark, folder, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("out"))
     landing.convert_arriving(landing.arriving(spark, str(folder)), lambda df: docx.items(docx.body(df)), out + "/rows", out + "/check").awaitTermination()
