@@ -70,7 +70,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 if args.json:
                     render.write_files(render.contents_json(entries), args.out, "doc_id")
                 else:
-                    render.write_files(render.contents_text(entries), args.out, "ord")
+                    render.write_files(render.contents_text(entries), args.out, "ord", "part")
             case "rewrite":
                 documents.rewrite_document(spark, args.path, args.out, not args.no_bookmarks, not args.keep_numbering)
             case "check":

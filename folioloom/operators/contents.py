@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as T
+from folioloom.operators import typed_contents
 
 KEYWORD = "目录"
 
@@ -83,26 +84,10 @@ def _entries(p: DataFrame) -> DataFrame:
     return p.where(F.size("texts") > 0).select("doc_id", "ord", "level", T.strip(text).alias("text"), page.alias("page"))
 
 
-def manual_entries(paragraphs: DataFrame, most: int = 600, misses: int = 10) -> DataFrame:
-    """Entries of a contents list typed by hand, one a paragraph, after a contents title: until so many paragraphs in a row are none or a chapter repeats."""
-    text = T.strip(F.array_join("texts", ""))
-    doc, upto = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("ord")
-    p = paragraphs.select("doc_id", "ord", text.alias("line"))
-    title = F.regexp_replace("line", r"(?U)\s+", "").isin("目录", "Contents", "CONTENTS") & (F.col("ord") < 150)
-    p = p.withColumn("opened", F.min(F.when(title, F.col("ord"))).over(doc)).where((F.col("ord") > F.col("opened")) & (F.col("ord") <= F.col("opened") + most) & (F.col("line") != ""))
-    p = p.withColumn("item", T.is_contents_item(F.col("line")))
-    p = p.withColumn("since", F.col("ord") - F.coalesce(F.last(F.when(F.col("item"), F.col("ord")), ignorenulls=True).over(upto), F.col("opened")))
-    name = T.contents_title(F.col("line"))
-    p = p.withColumn("name", name).withColumn("seen", F.row_number().over(Window.partitionBy("doc_id", "name").orderBy("ord")))
-    stop = (F.col("since") >= misses) | ((F.col("seen") > 1) & ~F.col("item"))
-    p = p.withColumn("stopped", F.max(stop.cast("int")).over(upto)).where("stopped = 0 and item")
-    entry = F.regexp_replace("line", rf"(?U)[\s.…·]*\d+\z", "")
-    return p.select("doc_id", "ord", T.number_depth(F.col("line")).alias("level"), entry.alias("text"), F.regexp_extract("line", r"(?U)(\d+)\z", 1).alias("page"))
-
-
 def entries(paragraphs: DataFrame) -> DataFrame:
-    """Field entries, else styled ones, else typed ones, of each document."""
-    out = field_entries(paragraphs)
-    for more in (style_entries(paragraphs), manual_entries(paragraphs)):
-        out = out.unionByName(more.join(out.select("doc_id").distinct(), "doc_id", "left_anti"))
-    return out
+    """(doc_id, ord, part, level, text, page): field entries, else styled ones, else typed ones, of each document; part counts those of one paragraph."""
+    single = lambda found: found.withColumn("part", F.lit(0))
+    out = single(field_entries(paragraphs))
+    out = out.unionByName(single(style_entries(paragraphs)).join(out.select("doc_id").distinct(), "doc_id", "left_anti"))
+    done = out.select("doc_id").distinct()
+    return out.unionByName(typed_contents.entries(paragraphs.join(done, "doc_id", "left_anti"))).select("doc_id", "ord", "part", "level", "text", "page")

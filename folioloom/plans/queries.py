@@ -354,8 +354,8 @@ def contents_titles(spark, sf_dir):
 
 @query(SQL_LINES + "SELECT doc_id, line_no, repeat('  ', CAST(line_no % 3 AS INTEGER)) || 'entry' || (CASE WHEN line_no % 2 = 0 THEN ' ... ' || CAST(line_no + 1 AS VARCHAR) ELSE '' END) AS value FROM lines")
 def contents_text(spark, sf_dir):
-    rows = doc_lines(spark, sf_dir).select("doc_id", F.col("line_no").alias("ord"), (F.col("line_no") % 3 + 1).alias("level"), F.lit("entry").alias("text"), F.when(F.col("line_no") % 2 == 0, (F.col("line_no") + 1).cast("string")).alias("page"))
-    return render.contents_text(rows).withColumnRenamed("ord", "line_no")
+    rows = doc_lines(spark, sf_dir).select("doc_id", F.col("line_no").alias("ord"), F.lit(0).alias("part"), (F.col("line_no") % 3 + 1).alias("level"), F.lit("entry").alias("text"), F.when(F.col("line_no") % 2 == 0, (F.col("line_no") + 1).cast("string")).alias("page"))
+    return render.contents_text(rows).drop("part").withColumnRenamed("ord", "line_no")
 
 
 @query(SQL_WORDS + "SELECT doc_id, line_no, printf('%.2f,%.2f,%.2f,%.2f', x0, top, x1, bottom) AS value FROM b")
@@ -396,16 +396,18 @@ def region_texts(spark, sf_dir):
 
 @query(
     SQL_LINES
-    + """SELECT doc_id, line_no AS ord, CAST(CASE WHEN line_no % 2 = 0 THEN line_no % 3 + 1 WHEN line_no > 1 THEN (line_no - 1) % 3 + 1 END AS INTEGER) AS level, 'e' || CAST(line_no AS VARCHAR) AS text, CAST(line_no + 1 AS VARCHAR) AS page FROM lines WHERE doc_id % 3 = 0 AND line_no BETWEEN 1 AND 5
-UNION ALL SELECT doc_id, line_no, 2, 'e' || CAST(line_no AS VARCHAR), CAST(line_no + 1 AS VARCHAR) FROM lines WHERE doc_id % 3 = 1 AND line_no % 4 = 1
-UNION ALL SELECT doc_id, line_no, 2, '1.' || CAST(line_no AS VARCHAR) || ' name', CAST(line_no + 7 AS VARCHAR) FROM lines WHERE doc_id % 3 = 2 AND line_no BETWEEN 1 AND 5"""
+    + """SELECT doc_id, line_no AS ord, CAST(0 AS INTEGER) AS part, CAST(CASE WHEN line_no % 2 = 0 THEN line_no % 3 + 1 WHEN line_no > 1 THEN (line_no - 1) % 3 + 1 END AS INTEGER) AS level, 'e' || CAST(line_no AS VARCHAR) AS text, CAST(line_no + 1 AS VARCHAR) AS page FROM lines WHERE doc_id % 3 = 0 AND line_no BETWEEN 1 AND 5
+UNION ALL SELECT doc_id, line_no, 0, 2, 'e' || CAST(line_no AS VARCHAR), CAST(line_no + 1 AS VARCHAR) FROM lines WHERE doc_id % 3 = 1 AND line_no % 4 = 1
+UNION ALL SELECT doc_id, line_no, 1, NULL, 'more', CAST(line_no + 8 AS VARCHAR) FROM lines WHERE doc_id % 3 = 2 AND line_no IN (2, 4)
+UNION ALL SELECT doc_id, line_no, 0, 2, '1.' || CAST(line_no AS VARCHAR) || ' name', CAST(line_no + 7 AS VARCHAR) FROM lines WHERE doc_id % 3 = 2 AND line_no BETWEEN 1 AND 5"""
 )
 def contents_entries(spark, sf_dir):
-    """A third of the documents has a contents field over their first paragraphs, a third styled entries, a third a typed list."""
+    """A third of the documents has a contents field over their first paragraphs, a third styled entries, a third a typed list, some lines of which hold two."""
     kind, n = F.col("doc_id") % 3, F.col("line_no")
     word = lambda c: c.cast("string")
     pair = F.array(F.concat(F.lit("e"), word(n)), word(n + 1))
-    typed = F.when(n == 0, "Contents").when(n <= 5, F.concat(F.lit("1."), word(n), F.lit(" name ... "), word(n + 7))).otherwise("prose.")
+    two = F.concat(F.lit("1."), word(n), F.lit(" name..."), word(n + 7), F.lit(" more..."), word(n + 8))
+    typed = F.when(n == 0, "Contents").when(n.isin(2, 4), two).when(n <= 5, F.concat(F.lit("1."), word(n), F.lit(" name ... "), word(n + 7))).otherwise("prose.")
     field_style = F.when((n % 2 == 0) & (n > 0), F.concat(F.lit("TOC"), word(n % 3 + 1)))
     rows = doc_lines(spark, sf_dir).select(
         "doc_id", n.alias("ord"), F.when(kind == 0, field_style).when((kind == 1) & (n % 4 == 1), "toc 2").alias("style"), F.when(kind == 2, F.array(typed)).otherwise(pair).alias("texts"),
@@ -420,7 +422,7 @@ def contents_entries(spark, sf_dir):
 )
 def contents_json(spark, sf_dir):
     n = F.col("line_no")
-    return render.contents_json(doc_lines(spark, sf_dir).select("doc_id", n.alias("ord"), (n % 3 + 1).alias("level"), F.lit("entry").alias("text"), F.when(n % 2 == 0, (n + 1).cast("string")).alias("page")))
+    return render.contents_json(doc_lines(spark, sf_dir).select("doc_id", n.alias("ord"), F.lit(0).alias("part"), (n % 3 + 1).alias("level"), F.lit("entry").alias("text"), F.when(n % 2 == 0, (n + 1).cast("string")).alias("page")))
 
 
 @query(

@@ -41,13 +41,13 @@ def table_json(cells: Column) -> Column:
 
 
 def contents_text(entries: DataFrame) -> DataFrame:
-    """(doc_id, ord, value): entries indented by level, with their pages."""
+    """(doc_id, ord, part, value): entries indented by level, with their pages."""
     indent = F.repeat(F.lit("  "), F.greatest(F.coalesce("level", F.lit(1)) - 1, F.lit(0)))
-    return entries.select("doc_id", "ord", F.concat(indent, "text", F.when(F.col("page").isNotNull(), F.concat(F.lit(" ... "), "page")).otherwise("")).alias("value"))
+    return entries.select("doc_id", "ord", "part", F.concat(indent, "text", F.when(F.col("page").isNotNull(), F.concat(F.lit(" ... "), "page")).otherwise("")).alias("value"))
 
 
 def contents_json(entries: DataFrame) -> DataFrame:
-    listed = entries.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "level", "text", "page"))).alias("e"))
+    listed = entries.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "part", "level", "text", "page"))).alias("e"))
     return listed.select("doc_id", F.to_json(F.transform("e", lambda v: F.struct(v["level"].alias("level"), v["text"].alias("text"), v["page"].alias("page"))), {"ignoreNullFields": "false"}).alias("value"))
 
 
@@ -59,7 +59,7 @@ def bookmarks(items: DataFrame) -> DataFrame:
     return own.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("element_index")).alias("bookmark_id"), F.concat(F.lit("index_"), F.col("element_index")).alias("name"))
 
 
-def write_files(rendered: DataFrame, path: str, order: str = "line_index") -> None:
+def write_files(rendered: DataFrame, path: str, *order: str) -> None:
     """Text files, one folder a document, lines in order; Spark's commit makes each write all or nothing."""
-    rows = rendered.repartition("doc_id").sortWithinPartitions("doc_id", order)
+    rows = rendered.repartition("doc_id").sortWithinPartitions("doc_id", *(order or ("line_index",)))
     rows.select("doc_id", "value").write.partitionBy("doc_id").mode("overwrite").text(path)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as T
-from folioloom.operators import contents, images
+from folioloom.operators import contents, images, typed_contents
 from folioloom.plans import convert, documents
 from folioloom.sinks import rewrite
 from folioloom.sources import docx, files
@@ -147,6 +147,33 @@ def test_prefix_behind_a_break_and_formats():
     assert re.findall('w:name="(index_[0-9]+)"', made) == ["index_0", "index_2", "index_3"]
 
 
+@pytest.mark.parametrize(
+    ("lines", "want"),
+    [
+        (["前言", "目录", "第一章 总则..1", "第二章 办法 12", "第三章 合同（甲）33", "第一章 总则", "第四章 后文 40"], [(2, 0, None, "第一章 总则", "1"), (3, 0, None, "第二章 办法", "12"), (4, 0, None, "第三章 合同（甲）", "33")]),
+        (["x", "第一章 总则..1", "十、其他材料  319"], [(1, 0, None, "第一章 总则", "1"), (2, 0, 1, "十、其他材料", "319")]),
+        (["x", "本目录如下：", "y", "1. 总则5"], [(3, 0, 1, "1. 总则", "5")]),
+        (["目录", "1.1 甲...3 乙...4", "1.2 丙 72.1 丁 9", "1.3 戊"], [(1, 0, 2, "1.1 甲", "3"), (1, 1, None, "乙", "4"), (2, 0, 2, "1.2 丙", "7"), (2, 1, 2, "2.1 丁", "9")]),
+        (["目录", "甲 1", *[""] * 9, "乙 2", *["丙"] * 10, "丁 3"], [(1, 0, None, "甲", "1"), (11, 0, None, "乙", "2")]),
+        (["目录", "甲 1", *["丙"] * 9, "see 7a", *["丙"] * 9, "丁 3"], [(1, 0, None, "甲", "1"), (21, 0, None, "丁", "3")]),
+        (["目录", "甲20000", "Name 3", "Name3", "三、", "123"], [(2, 0, None, "Name", "3"), (4, 0, 1, "三、", None)]),
+        (["plain"] * 200 + ["第一章 总则..1"], []),
+        (["目录"] + ["甲 1"] * 700, [(k, 0, None, "甲", "1") for k in range(1, 601)]),
+        ([], []),
+    ],
+)
+def test_typed_contents(lines, want):
+    assert [(at, k, *entry) for at, k, entry in typed_contents.listed(lines)] == want
+
+
+def test_typed_contents_of_documents(spark):
+    """Documents by themselves, null and empty texts, paragraph numbers with gaps; a document without a list gives no rows."""
+    texts = [["目录"], [], None, ["第一章", " 总则..1"], ["1.1 甲...3 乙...4"]]
+    rows = [("a", 3 * k, t) for k, t in enumerate(texts)] + [("b", k, ["plain words"]) for k in range(5)]
+    got = typed_contents.entries(spark.createDataFrame(rows, "doc_id string, ord int, texts array<string>")).orderBy("ord", "part").collect()
+    assert [tuple(r) for r in got] == [("a", 9, 0, None, "第一章 总则", "1"), ("a", 12, 0, 2, "1.1 甲", "3"), ("a", 12, 1, None, "乙", "4")]
+
+
 def test_landing(spark, folder, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("out"))
     landing.convert_arriving(landing.arriving(spark, str(folder)), lambda df: docx.items(docx.body(df)), out + "/rows", out + "/check").awaitTermination()
