@@ -20,6 +20,8 @@ def arguments() -> argparse.ArgumentParser:
     convert.add_argument("out")
     convert.add_argument("--first", type=int, help="first page, counted from 1 (PDF only)")
     convert.add_argument("--last", type=int, help="last page (PDF only)")
+    convert.add_argument("--no-images", action="store_true")
+    convert.add_argument("--no-tables", action="store_true", help="(PDF only)")
     contents = commands.add_parser("contents", help="the contents list of word-processing documents")
     contents.add_argument("path")
     contents.add_argument("out")
@@ -63,7 +65,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             case "convert":
                 for name in unused(documents.detect_file_type(args.path), args.first, args.last):
                     log.warning("%s is for PDF files only and has no effect", name)
-                log.info("%s", documents.convert_document(spark, args.path, args.out, args.first, args.last))
+                log.info("%s", documents.convert_document(spark, args.path, args.out, args.first, args.last, not args.no_images, not args.no_tables))
             case "contents":
                 rows = docx.body(files.files(spark, args.path)).where("kind = 'p'").withColumnRenamed("path", "doc_id")
                 entries = contents.entries(rows)

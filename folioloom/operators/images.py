@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
+from folioloom.functions import png
+
 
 def is_square(width: Column, height: Column, tolerance: float = 0.03) -> Column:
     return F.coalesce((width > 0) & (height > 0) & (F.abs(width / F.nullif(height, F.lit(0)) - 1) <= tolerance), F.lit(False))
@@ -26,19 +28,25 @@ def red_share(pixels) -> float:
     return float(((r > 100) & (r > 1.2 * g) & (r > 1.2 * b)).sum() / total) if total else 0.0
 
 
-@pandas_udf(BooleanType())
-def is_red(blobs: pd.Series) -> pd.Series:
-    """Whether a third or so of an image is red; null where no decoder is installed or none can read it."""
+def _pixels(blob: bytes):
+    """(height, width, 3) of an image: PNG by the standard library, others where a decoder is installed."""
     try:
+        return png.pixels(blob)
+    except Exception:  # noqa: BLE001  interlaced, broken or no PNG image
         import numpy as np
         from PIL import Image
-    except ImportError:
-        return pd.Series([None] * len(blobs), dtype=object)
+
+        return np.asarray(Image.open(io.BytesIO(blob)).convert("RGB"))
+
+
+@pandas_udf(BooleanType())
+def is_red(blobs: pd.Series) -> pd.Series:
+    """Whether a third or so of an image is red; null where it cannot be decoded."""
 
     def red(blob):
         try:
-            return bool(red_share(np.asarray(Image.open(io.BytesIO(blob)).convert("RGB"))) >= 0.3)
-        except Exception:
+            return bool(red_share(_pixels(bytes(blob))) >= 0.3)
+        except Exception:  # noqa: BLE001  any broken image, or no decoder
             return None
 
     return pd.Series([red(b) for b in blobs], dtype=object)

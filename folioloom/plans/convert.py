@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as T
-from folioloom.operators import contents, images, layout, lines, numbering
+from folioloom.operators import images, layout, lines, numbering
 from folioloom.sinks import rewrite
 from folioloom.sources import docx, files, pdf
 
@@ -29,10 +29,11 @@ def convert_pdf(spark: SparkSession, path: str, first: int | None = None, last:
     """Lines of all PDF files at path, and the status of every file there.
 
     Pages first to last, counted from 1. Tables are those that rules draw,
-    unless others are given, as convert_layout wants them.
+    unless others are given, as convert_layout wants them. Every file is
+    parsed once, at this call.
     """
     found = files.files(spark, path)
-    rows = pdf.layout(found)
+    rows = files.scanned(pdf.layout(found), "layout", "kind")
     errors = rows.where("kind = 'error'").select("path", "error")
     shown = layout.page_range(rows, first, last)
     if tables is None:
@@ -53,23 +54,18 @@ def list_prefixes(rows: DataFrame, parts: DataFrame) -> DataFrame:
 def rewrite_docx(spark: SparkSession, path: str, bookmarks: bool = True, static_numbers: bool = True) -> DataFrame:
     """(path, content, error) of all documents at path, with a bookmark at each element that yields content, and list numbers as text."""
     found = files.files(spark, path)
-    rows, parts = docx.body(found), docx.parts(found)
+    rows, parts = files.scanned(docx.body(found), "body"), files.scanned(docx.parts(found), "parts", "part")
     numbers = list_prefixes(rows, parts) if static_numbers else None
     items = docx.items(rows, images.without_stamps(docx.images(rows, parts)), list_prefixes(rows, parts)) if bookmarks else None
     return rewrite.rewrite(found, items, numbers)
 
 
 def convert_docx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Items of all documents at path, and the status of every file there; lists count on through table cells."""
+    """Items of all documents at path, and the status of every file there; lists count on through table cells. Every file is parsed at this call."""
     found = files.files(spark, path)
-    rows, parts = docx.body(found), docx.parts(found)
+    rows, parts = files.scanned(docx.body(found), "body"), files.scanned(docx.parts(found), "parts", "part")
     kept = images.without_stamps(docx.images(rows, parts))
     items = docx.items(rows, kept, list_prefixes(rows, parts))
     errors = rows.where("kind = 'error'").select("path", "error").unionByName(parts.where("part = 'error'").select("path", F.col("a").alias("error")))
     errors = errors.groupBy("path").agg(F.min("error").alias("error"))
     return items, files.status(found.select("path", "doc_type").join(errors, "path", "left"))
-
-
-def contents_of(docs: DataFrame, pattern: str | None = None) -> DataFrame:
-    rows = lines.lines(docs)
-    return contents.region_texts(rows, contents.regions(rows, pattern))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,27 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumn("doc_type", T.file_type(F.col("path")))
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; only a local master may fall back to a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = held.get() if held.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="folioloom-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/") + "/folioloom"
+
+
+def scanned(rows: DataFrame, name: str, *parts: str) -> DataFrame:
+    """rows, written once to the shared folder and read again, so that no file is parsed for each use; parts divides them into folders that filters skip."""
+    path = f"{work_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.partitionBy(*parts).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def status(found: DataFrame) -> DataFrame:
     """(file_path, success, output, error) of rows (path, doc_type[, error])."""
     error = F.when(F.col("doc_type") == "unknown", F.concat(F.lit("unsupported file type: "), F.col("path")))

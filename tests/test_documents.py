@@ -5,11 +5,15 @@ from __future__ import annotations
 import asyncio
 import io
 import re
+import struct
 import zipfile
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioloom.functions import png
 from folioloom.functions import text as T
 from folioloom.operators import contents, images, typed_contents
 from folioloom.plans import convert, documents
@@ -109,6 +113,52 @@ def test_image_diagnosis(spark):
     assert [r["element_index"] for r in images.without_stamps(rows).orderBy("element_index").collect()] == [1, 2]
 
 
+def png_rows(grid, form):
+    """A PNG image whose rows are all of one form."""
+    step, above, rows = grid.shape[2], np.zeros(grid[0].size, int), b""
+    for row in grid.reshape(len(grid), -1).astype(int):
+        left, corner = (np.concatenate([np.zeros(step, int), v[:-step]]) for v in (row, above))
+        near = left + above - corner
+        likest = np.where((abs(near - left) <= abs(near - above)) & (abs(near - left) <= abs(near - corner)), left, np.where(abs(near - above) <= abs(near - corner), above, corner))
+        rows += bytes([form]) + bytes(((row - (0, left, above, (left + above) // 2, likest)[form]) % 256).tolist())
+        above = row
+    whole = png.image(grid)
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return whole[: whole.index(b"IDAT") - 4] + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+def test_png():
+    grid = np.random.default_rng(3).integers(0, 256, (7, 5, 3), dtype=np.uint8)
+    for form in range(5):
+        assert (png.pixels(png_rows(grid, form)) == grid).all()
+    grey = grid[:, :, :1]
+    assert (png.pixels(png.image(grey)) == grey).all()
+    assert png.samples(bytes([0b10110000, 0b01000000]), 3, 2, 1, 1)[:, :, 0].tolist() == [[1, 0, 1], [0, 1, 0]]
+    assert png.samples(bytes([0x1F, 0x20]), 3, 1, 1, 4)[0, :, 0].tolist() == [1, 15, 2]
+    with pytest.raises(ValueError):
+        png.pixels(b"GIF89a")
+
+
+def test_stamps_in_documents(spark, tmp_path):
+    """Square or red images go, whatever decoder is installed; others stay, under the names of their places."""
+    inline = '<w:p><w:r><w:drawing><wp:inline><wp:extent cx="{cx}" cy="{cy}"/><a:graphic><a:blip r:embed="{rel}"/></a:graphic></wp:inline></w:drawing></w:r><w:r><w:t>{rel}</w:t></w:r></w:p>'
+    body = "".join(inline.format(cx=x, cy=y, rel=r) for r, x, y in (("red", 100, 300), ("blue", 100, 300), ("square", 100, 102), ("lost", 100, 300)))
+    names = 'xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    rels = "".join(f'<Relationship Id="{r}" Type="x/image" Target="media/{r}.png"/>' for r in ("red", "blue", "square", "lost"))
+    blue = png.image(np.full((30, 10, 3), (0, 0, 200), np.uint8))
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {W} {names}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/_rels/document.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rels}</Relationships>')
+        z.writestr("word/media/red.png", png.image(np.full((30, 10, 3), (200, 10, 10), np.uint8)))
+        z.writestr("word/media/blue.png", blue)
+        z.writestr("word/media/square.png", blue)
+    counts = documents.convert_document(spark, f"{tmp_path}/a.docx", f"{tmp_path}/out")
+    got = [r["value"] for r in spark.read.text(f"{tmp_path}/out/text", recursiveFileLookup=True).collect()]
+    assert got == ["red", "blue", "{{image_1_0}}", "square", "lost"] and counts == {"text": 5, "index": 5, "pages": 0, "images": 1}
+    (kept,) = spark.read.parquet(f"{tmp_path}/out/images").collect()
+    assert (kept["name"], bytes(kept["content"])) == ("image_1_0.png", blue)
+
+
 def test_contents_entries(spark, folder):
     rows = docx.body(files.files(spark, str(folder))).where("kind = 'p'").withColumnRenamed("path", "doc_id")
     got = contents.entries(rows).orderBy("ord").collect()

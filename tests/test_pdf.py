@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioloom import __main__ as cli
-from folioloom.plans import convert
+from folioloom.functions import png
+from folioloom.plans import convert, documents
 from folioloom.sources import files, pdf, precheck
 
 
@@ -116,6 +117,34 @@ def test_filters():
         one(b"x", b"/Filter/JBIG2Decode")
 
 
+def test_pictures():
+    grid = bytes(range(12))
+    def one(head, data):
+        f = pdf.File(b"%PDF-1.5\n1 0 obj\n<</Length " + str(len(data)).encode() + head + b">>\nstream\n" + data + b"\nendstream\nendobj\n")
+        return pdf.picture(f, pdf.Ref(1))
+
+    suffix, blob = one(b"/Width 2/Height 2/BitsPerComponent 8/ColorSpace/DeviceRGB/Filter/FlateDecode", zlib.compress(grid))
+    assert suffix == ".png" and png.pixels(blob).tobytes() == grid
+    assert one(b"/Filter[/ASCIIHexDecode/DCTDecode]", b"ffd8>") == (".jpg", b"\xff\xd8")
+    palette = one(b"/Width 2/Height 1/BitsPerComponent 4/ColorSpace[/Indexed/DeviceRGB 1 <0102030a0b0c>]", bytes([0x10]))
+    assert png.pixels(palette[1]).tobytes() == bytes([10, 11, 12, 1, 2, 3])
+    mask = one(b"/Width 3/Height 1/ImageMask true", bytes([0b10100000]))
+    assert png.pixels(mask[1])[0, :, 0].tolist() == [255, 0, 255]
+    inks = one(b"/Width 1/Height 1/ColorSpace/DeviceCMYK", bytes([255, 0, 0, 0]))
+    assert png.pixels(inks[1]).tolist() == [[[0, 255, 255]]]
+    with pytest.raises(ValueError, match="unknown colours"):
+        one(b"/Width 1/Height 1/ColorSpace/Lab", b"123")
+
+
+def test_picture_output(spark, tmp_path):
+    """Images are named by their place on the page, not by the order drawn."""
+    (tmp_path / "a.pdf").write_bytes(pdf_file([b"q 9 0 0 9 50 100 cm /I Do Q q 9 0 0 9 50 700 cm /I Do Q"]).replace(b"/Width 1/Height 1", b"/Width 1/Height 1/ColorSpace/DeviceGray"))
+    counts = documents.convert_document(spark, f"{tmp_path}/a.pdf", f"{tmp_path}/out")
+    assert counts["images"] == 2 and sorted(r["name"] for r in spark.read.parquet(f"{tmp_path}/out/images").collect()) == ["page_1_1.png", "page_1_2.png"]
+    rows = pdf.pictures(files.files(spark, f"{tmp_path}/a.pdf")).collect()
+    assert [(r["img_idx"], r["suffix"], r["error"]) for r in rows] == [(0, ".png", None), (1, ".png", None)]
+
+
 def test_precheck(spark, tmp_path, monkeypatch):
     plain, packed = pdf_file([FIRST]), pdf_file([SECOND], True)
     for name, content in {"plain": plain, "packed": packed, "none": pdf_file([]), "bad": b"no such file"}.items():
