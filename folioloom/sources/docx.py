@@ -111,7 +111,7 @@ def _scan(found: DataFrame, read, schema: str, failed) -> DataFrame:
                 except Exception as e:  # noqa: BLE001  any broken file
                     rows = failed(e)
                 if rows:
-                    yield pd.DataFrame([{n: None for n in names} | r | {"path": path} for r in rows], columns=names).astype(object)
+                    yield pd.DataFrame({n: pd.Series([path] * len(rows) if n == "path" else [r.get(n) for r in rows], dtype=object) for n in names})
 
     return found.where("doc_type = 'docx'").select("path", "content").mapInPandas(scan, schema)
 

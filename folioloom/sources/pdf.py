@@ -125,6 +125,7 @@ class File:
         #: Offset and generation of each object, or the stream that holds it and its place there.
         self.places: dict[int, tuple[int, int]] = {}
         self.held: dict[int, tuple[int, int]] = {}
+        self.fonts: dict[int, tuple[dict, Font]] = {}
         if re.search(rb"/Encrypt\b", data):
             raise ValueError("the file is encrypted")
         at = 0
@@ -180,6 +181,13 @@ class File:
             data = _unpredicted(data, {x: self.get(y) for x, y in own.items()}) if own else data
         return data
 
+    def font(self, head: dict) -> Font:
+        """The font of a dictionary, read at its first use."""
+        if id(head) not in self.fonts:
+            # The dictionary is kept too, so that no other one takes its identity.
+            self.fonts[id(head)] = head, Font(self, head)
+        return self.fonts[id(head)][1]
+
     def pages(self) -> list[dict]:
         """Leaves of the page tree, in order, with what they inherit."""
         roots = [v for v in self.objects.values() if isinstance(v, dict) and v.get("Type") == "Catalog"]
@@ -338,7 +346,6 @@ def read_page(file: File, page: dict) -> tuple[list[dict], float, float]:
     content = page.get("Contents")
     parts = [content] if isinstance(content, Ref) and not isinstance(file.get(content), list) else file.get(content) or []
     rows: list[dict] = []
-    fonts: dict[int, Font] = {}
     rules: list[tuple[float, float, float, float]] = []
 
     def put(kind: str, corners, **more):
@@ -399,7 +406,7 @@ def read_page(file: File, page: dict) -> tuple[list[dict], float, float]:
                 case b"Tf", [name, n]:
                     ref = (file.get(resources.get("Font")) or {}).get(name)
                     head, size = file.get(ref), float(n)
-                    font = fonts.setdefault(id(head), Font(file, head)) if isinstance(head, dict) else None
+                    font = file.font(head) if isinstance(head, dict) else None
                 case b"Tc", [n]:
                     char = float(n)
                 case b"Tw", [n]:
@@ -520,7 +527,7 @@ def _scan(found: DataFrame, read, schema: str, failed) -> DataFrame:
                     rows = read(bytes(content))
                 except Exception as e:  # noqa: BLE001  any broken file
                     rows = failed(f"{type(e).__name__}: {e}")
-                yield pd.DataFrame([{n: None for n in names} | r | {"path": path} for r in rows], columns=names).astype(object)
+                yield pd.DataFrame({n: pd.Series([path] * len(rows) if n == "path" else [r.get(n) for r in rows], dtype=object) for n in names})
 
     return found.where("doc_type = 'pdf'").select("path", "content").mapInPandas(scan, schema)
 
