@@ -192,14 +192,15 @@ def split_paragraphs(spark, sf_dir):
     return rows.select("doc_id", F.posexplode(T.split_paragraph(merged)).alias("pos", "text"))
 
 
-def words(spark, sf_dir) -> DataFrame:
-    """Words of every line as boxes: 12 units a line, jittered within 3, a page each fifty lines."""
-    rows = doc_lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode(F.filter(F.split(F.regexp_replace("text", "[^a-z ]", " "), " "), lambda x: x != "")).alias("pos", "text"))
+def words(spark, sf_dir, letters: bool = False) -> DataFrame:
+    """Words of every line (or, for SQL that cannot clean them, their small letters) as boxes: 12 units a line, jittered within 3, a page each fifty lines."""
+    text = F.regexp_replace("text", "[^a-z ]", " ") if letters else F.col("text")
+    rows = doc_lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode(F.filter(F.split(text, " "), lambda x: x != "")).alias("pos", "text"))
     y = 12.0 * (F.col("line_no") % 50) + 1.5 * (F.col("pos") % 3)
     return rows.select("doc_id", F.floor(F.col("line_no") / 50).cast("int").alias("page_index"), "line_no", F.expr("line_no * 100000 + pos").alias("ord"), "text", (F.col("pos") * 10.0).alias("x0"), (F.col("pos") * 10.0 + 8).alias("x1"), y.alias("top"), (y + 8).alias("bottom"))
 
 
-SQL_WORDS = (
+SQL_LETTERS = (
     SQL_LINES
     + """, w0 AS (SELECT doc_id, line_no, list_filter(string_split(regexp_replace(text, '[^a-z ]', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM lines),
 w AS (SELECT doc_id, line_no, w, len(w) AS n FROM w0 WHERE len(w) > 0),
@@ -207,6 +208,8 @@ b AS (SELECT doc_id, CAST(floor(line_no / 50) AS INTEGER) AS page_index, line_no
 (n - 1) * 10.0::DOUBLE + 8 AS x1, 12.0::DOUBLE * (line_no % 50) + 1.5::DOUBLE * least(n - 1, 2) + 8 AS bottom FROM w)
 """
 )
+#: The same of whole words.
+SQL_WORDS = SQL_LETTERS.replace("regexp_replace(text, '[^a-z ]', ' ', 'g')", "text")
 
 
 def line_boxes(spark, sf_dir) -> DataFrame:
@@ -377,7 +380,7 @@ def image_suffixes(spark, sf_dir):
 def headings(spark, sf_dir):
     """Lines whose letters follow a chapter, a number, nothing, a numeral in parentheses, a listed number or a dotted one."""
     forms = F.array(*map(F.lit, ("第三章", "2.", "", "（四）", "5、", "1.2.3 ")))
-    text = F.concat(F.element_at(forms, (F.col("line_no") % 6 + 1).cast("int")), F.lit("ab"), F.regexp_replace("text", "[^a-z]", ""))
+    text = F.concat(F.element_at(forms, (F.col("line_no") % 6 + 1).cast("int")), F.lit("ab"), "text")
     return doc_lines(spark, sf_dir).select("doc_id", "line_no", T.is_heading(text).alias("is_heading"), T.number_depth(text).alias("depth"))
 
 
@@ -520,7 +523,7 @@ SQL_FOURFOLD = functools.reduce(lambda x, c: f"replace({x}, '{c * 4}', '{c}')",
 
 
 @query(
-    SQL_WORDS
+    SQL_LETTERS
     + f""", t AS (SELECT DISTINCT doc_id, page_index, 50.0::DOUBLE AS x0, (40 + doc_id % 30)::DOUBLE AS top FROM b WHERE page_index % 2 = 0),
 e AS (SELECT doc_id, page_index, top AS y, x0 AS x, {SQL_FOURFOLD} AS text, 0 AS k FROM b WHERE NOT (page_index % 2 = 0 AND x0 < 300 AND x1 > 50 AND top < 130 AND bottom > 40 + doc_id % 30)
 UNION ALL SELECT doc_id, page_index, top, x0, '{{{{table_' || CAST(page_index + 1 AS VARCHAR) || '_1}}}}', 2 FROM t)
@@ -528,7 +531,7 @@ SELECT doc_id, page_index, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY
 )
 def layout_lines(spark, sf_dir):
     """The whole conversion of layouts: words in lines, a table on every other page."""
-    w = words(spark, sf_dir)
+    w = words(spark, sf_dir, letters=True)
     page = w.select("doc_id", "page_index").distinct()
     tables = page.where("page_index % 2 = 0").select("doc_id", "page_index", F.lit(0).alias("table_idx"), F.lit(50.0).alias("x0"), (40 + F.col("doc_id") % 30).cast("double").alias("top"), F.lit(300.0).alias("x1"), F.lit(130.0).alias("bottom"), F.expr("array(array('a'))").alias("cells"))
     pictures = tables.where("false").withColumnRenamed("table_idx", "img_idx").drop("cells")
