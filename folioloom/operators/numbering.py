@@ -57,11 +57,13 @@ def running_numbers(rows: DataFrame) -> DataFrame:
     return with_numbers(rows).select("doc_id", F.col("ord").cast("long").alias("ord"), "values")
 
 
-def prefixes(rows: DataFrame, levels: DataFrame) -> DataFrame:
-    """(doc_id, ord, prefix): each level text with its placeholders filled, each in its own level's format; a trailing blank follows."""
-    form = F.struct(F.col("ilvl").cast("int"), F.coalesce("num_fmt", F.lit("decimal")))
-    forms = levels.where("ilvl is not null").groupBy("doc_id", F.col("num_id").alias("use_num")).agg(F.map_from_entries(F.collect_set(form)).alias("forms"))
-    counted = with_numbers(rows).where(F.col("lvl_text").contains("%")).join(forms, ["doc_id", "use_num"], "left")
+def prefixes(rows: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """(doc_id, ord, prefix): each level text with its placeholders filled, each in its own level's format; a trailing blank follows. Without levels, rows have the formats as a map, forms."""
+    counted = with_numbers(rows).where(F.col("lvl_text").contains("%"))
+    if levels is not None:
+        form = F.struct(F.col("ilvl").cast("int"), F.coalesce("num_fmt", F.lit("decimal")))
+        forms = levels.where("ilvl is not null").groupBy("doc_id", F.col("num_id").alias("use_num")).agg(F.map_from_entries(F.collect_set(form)).alias("forms"))
+        counted = counted.join(forms, ["doc_id", "use_num"], "left")
     pieces = F.regexp_extract_all("lvl_text", F.lit(r"(%\d|[^%]+|%)"), F.lit(1))
     place = lambda x: F.substring(x, 2, 1).cast("int") - 1
     shown = lambda k: T.format_number(F.get("values", k), F.coalesce(F.try_element_at("forms", k), F.lit("decimal")))

@@ -51,6 +51,11 @@ def list_prefixes(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return numbering.prefixes(numbering.numbered_paragraphs(paragraphs, styles, held), held)
 
 
+def file_prefixes(found: DataFrame) -> DataFrame:
+    """What list_prefixes has, of files of which nothing else is wanted: each is read once, and only its numbered paragraphs are dealt."""
+    return numbering.prefixes(docx.numbered(found))
+
+
 def rewrite_docx(spark: SparkSession, path: str, bookmarks: bool = True, static_numbers: bool = True) -> DataFrame:
     """(path, content, error) of all documents at path, with a bookmark at each element that yields content, and list numbers as text."""
     found = files.files(spark, path)

@@ -25,6 +25,8 @@ PARAGRAPHS = (
     "path string, element_index int, ord int, kind string, in_body boolean, text string, texts array<string>, style string, num_id string, ilvl string, field_begin boolean, field_end boolean, "
     "instruction string, has_image boolean, images array<struct<rel_id:string,cx:long,cy:long>>, error string"
 )
+ATTRIBUTES = ("start", "num_fmt", "lvl_text", "lvl_jc")
+NUMBERED = "path string, ord int, use_num string, use_lvl string, start string, num_fmt string, lvl_text string, lvl_jc string, forms map<int,string>"
 PARTS = "path string, part string, a string, b string, c string, start string, num_fmt string, lvl_text string, lvl_jc string, blob binary"
 
 
@@ -74,24 +76,30 @@ def read_body(content: bytes) -> list[dict]:
     return [r | {"ord": k} for k, r in enumerate(rows)]
 
 
+def _numbering_parts(z: zipfile.ZipFile, names: set[str]) -> list[dict]:
+    rows = []
+    attributes = lambda e, end="": {"start": _value(e, "startOverride") or _value(e, "start"), "num_fmt": _value(e, "numFmt" + end), "lvl_text": _value(e, "lvlText" + end), "lvl_jc": _value(e, "lvlJc" + end)}
+    if "word/numbering.xml" in names:
+        root = ElementTree.fromstring(z.read("word/numbering.xml"))
+        for one in root.findall(f"{W}abstractNum"):
+            rows += [{"part": "level", "a": one.get(f"{W}abstractNumId"), "b": v.get(f"{W}ilvl")} | attributes(v) for v in one.findall(f"{W}lvl")]
+        for num in root.findall(f"{W}num"):
+            rows.append({"part": "num", "a": num.get(f"{W}numId"), "b": _value(num, "abstractNumId")})
+            rows += [{"part": "override", "a": num.get(f"{W}numId"), "b": v.get(f"{W}ilvl")} | attributes(v) for v in num.findall(f"{W}lvlOverride")]
+    if "word/styles.xml" in names:
+        for s in ElementTree.fromstring(z.read("word/styles.xml")).findall(f"{W}style"):
+            number = s.find(f"{W}pPr/{W}numPr")
+            if number is not None and _value(number, "numId") not in (None, "0"):
+                rows.append({"part": "style", "a": s.get(f"{W}styleId"), "b": _value(number, "numId"), "c": _value(number, "ilvl") or "0"})
+    return rows
+
+
 def read_parts(content: bytes) -> list[dict]:
     """Numbering, style and image parts of one file as rows tagged by part."""
     rows = []
-    attributes = lambda e, end="": {"start": _value(e, "startOverride") or _value(e, "start"), "num_fmt": _value(e, "numFmt" + end), "lvl_text": _value(e, "lvlText" + end), "lvl_jc": _value(e, "lvlJc" + end)}
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
-        if "word/numbering.xml" in names:
-            root = ElementTree.fromstring(z.read("word/numbering.xml"))
-            for one in root.findall(f"{W}abstractNum"):
-                rows += [{"part": "level", "a": one.get(f"{W}abstractNumId"), "b": v.get(f"{W}ilvl")} | attributes(v) for v in one.findall(f"{W}lvl")]
-            for num in root.findall(f"{W}num"):
-                rows.append({"part": "num", "a": num.get(f"{W}numId"), "b": _value(num, "abstractNumId")})
-                rows += [{"part": "override", "a": num.get(f"{W}numId"), "b": v.get(f"{W}ilvl")} | attributes(v) for v in num.findall(f"{W}lvlOverride")]
-        if "word/styles.xml" in names:
-            for s in ElementTree.fromstring(z.read("word/styles.xml")).findall(f"{W}style"):
-                number = s.find(f"{W}pPr/{W}numPr")
-                if number is not None and _value(number, "numId") not in (None, "0"):
-                    rows.append({"part": "style", "a": s.get(f"{W}styleId"), "b": _value(number, "numId"), "c": _value(number, "ilvl") or "0"})
+        rows += _numbering_parts(z, names)
         if "word/_rels/document.xml.rels" in names:
             for rel in ElementTree.fromstring(z.read("word/_rels/document.xml.rels")):
                 name = "word/" + rel.get("Target", "")
@@ -100,6 +108,37 @@ def read_parts(content: bytes) -> list[dict]:
     return rows
 
 
+def read_numbered(content: bytes) -> list[dict]:
+    """Numbered paragraphs of one file with the level that holds for each, as operators.numbering.numbered_paragraphs has them, and all formats of its list."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
+        rows = _numbering_parts(z, set(z.namelist()))
+    of = {k: [r for r in rows if r["part"] == k] for k in ("num", "level", "override", "style")}
+    over = {(r["a"], r["b"]): r for r in of["override"]}
+    held: dict[str, dict[str, dict]] = {}
+    for num in of["num"]:
+        levels = [r for r in of["level"] if r["a"] == num["b"] and None not in (r["a"], r["b"])]
+        own = held.setdefault(num["a"], {})
+        for level in levels:
+            more = over.get((num["a"], level["b"]), {})
+            own[level["b"]] = {k: level[k] if more.get(k) is None else more[k] for k in ATTRIBUTES}
+    forms = {num: {int(k): v["num_fmt"] or "decimal" for k, v in levels.items()} for num, levels in held.items()}
+    styles = {r["a"]: (r["b"], r["c"]) for r in of["style"]}
+    out, at = [], 0
+    for child in body:
+        at += child.tag == f"{W}tbl"
+        for p in [child] if child.tag == f"{W}p" else child.iter(f"{W}p"):
+            props = p.find(f"{W}pPr")
+            if props is not None:
+                number = props.find(f"{W}numPr")
+                use = _value(number, "numId"), _value(number, "ilvl")
+                num, level = styles.get(_value(props, "pStyle"), (None, None)) if None in use else use
+                if num not in (None, "0"):
+                    out.append({"ord": at, "use_num": num, "use_lvl": level, "forms": forms.get(num)} | held.get(num, {}).get(level, {}))
+            at += 1
+    return out
+
+
 def _scan(found: DataFrame, read, schema: str, failed) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -124,6 +163,11 @@ def parts(found: DataFrame) -> DataFrame:
     return _scan(found, read_parts, PARTS, lambda e: [{"part": "error", "a": f"{type(e).__name__}: {e}"}])
 
 
+def numbered(found: DataFrame) -> DataFrame:
+    """Numbered paragraphs of all documents, as read_numbered has them, from one pass over each file; a file that cannot be read gives none."""
+    return _scan(found, read_numbered, NUMBERED, lambda e: []).withColumnRenamed("path", "doc_id")
+
+
 def numbering_tables(found_parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """nums, abstract levels, overrides and styles, as operators.numbering wants them."""
     p, attributes = found_parts.withColumnRenamed("path", "doc_id"), ("start", "num_fmt", "lvl_text", "lvl_jc")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from folioloom.functions import png
 from folioloom.functions import text as T
 from folioloom.operators import contents, images, typed_contents
+import __spark_entry__ as entry
+from folioloom.plans import fixture_files
 from folioloom.plans import convert, documents
 from folioloom.sinks import rewrite
 from folioloom.sources import docx, files
@@ -248,3 +250,23 @@ def test_convert_document(spark, folder, tmp_path_factory):
 
     good, bad = asyncio.run(both())
     assert good["success"] and good["output"].endswith("/two") and not bad["success"] and "BadZipFile" in bad["error"]
+
+
+def test_prefixes_of_files_read_once(spark, sf_dir, tmp_path):
+    """The one pass over each file gives the numbers that the joins of its parts give; a query reads no file twice for them."""
+    for row in fixture_files.drawn(spark.range(1, 4).selectExpr("id as doc_id", "repeat('line\\n', 60) as text"), "docx").collect():
+        (tmp_path / f"{row['path']}.docx").write_bytes(row["content"])
+    W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "odd.docx", "w") as z:  # a style with number 0 and one without a level, a lost list, a level that the list lacks
+        props = ('<w:pStyle w:val="S"/>', '<w:numPr><w:ilvl w:val="0"/><w:numId w:val="0"/></w:numPr>', '<w:numPr><w:ilvl w:val="0"/><w:numId w:val="9"/></w:numPr>', '<w:pStyle w:val="S"/><w:numPr><w:numId w:val="1"/></w:numPr>', '<w:numPr><w:ilvl w:val="1"/><w:numId w:val="1"/></w:numPr>', "")
+        paragraphs = "".join(f"<w:p><w:pPr>{x}</w:pPr><w:r><w:t>x</w:t></w:r></w:p>" for x in (*props, *props)) + "<w:p/>"
+        z.writestr("word/document.xml", f"<w:document {W}><w:body>{paragraphs}<w:tbl><w:tr><w:tc>{paragraphs}</w:tc></w:tr></w:tbl><w:sdt>{paragraphs}</w:sdt>{paragraphs}</w:body></w:document>")
+        z.writestr("word/styles.xml", f'<w:styles {W}><w:style w:styleId="S"><w:pPr><w:numPr><w:numId w:val="1"/></w:numPr></w:pPr></w:style></w:styles>')
+        z.writestr("word/numbering.xml", f'<w:numbering {W}><w:abstractNum w:abstractNumId="a"><w:lvl w:ilvl="0"><w:lvlText w:val="%1)"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="a"/><w:lvlOverride w:ilvl="0"><w:startOverride w:val="4"/></w:lvlOverride></w:num></w:numbering>')
+    (tmp_path / "bad.docx").write_bytes(b"no zip")
+    found = files.files(spark, str(tmp_path))
+    got, want = (sorted(map(tuple, df.collect())) for df in (convert.file_prefixes(found), convert.list_prefixes(docx.body(found), docx.parts(found))))
+    assert got == want and len({r[0] for r in got}) == 4
+    for name, most in (("docx_prefixes", 2), ("docx_static_numbers", 5)):
+        plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInPandas") <= most
