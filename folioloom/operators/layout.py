@@ -5,22 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioloom.sources import files
+
 #: Distance to a line's baseline that a word may have; the new word's share in the baseline.
 REACH, SHARE = 4.0, 0.2
 #: Height of the bands in which characters meet lines.
 BAND = 16.0
 
+#: What a page's words have.
+WORD = ("x0", "ord", "text", "top", "x1", "bottom")
+
 
 def cluster_words(words: DataFrame, reach: float = REACH) -> DataFrame:
-    """(doc_id, page_index, line, text, x0, top, x1, bottom) from (doc_id, page_index, ord, text, x0, top, x1, bottom).
+    """(doc_id, page_index, line, text, x0, top, x1, bottom) from (doc_id, page_index, ord, text, x0, top, x1, bottom)."""
+    pages = words.groupBy("doc_id", "page_index").agg(F.collect_list(F.struct(*WORD)).alias("words"))
+    return cluster_pages(pages, reach)
+
+
+def cluster_pages(pages: DataFrame, reach: float = REACH) -> DataFrame:
+    """The same from (doc_id, page_index, words), a row a page with its words in any order: nothing is dealt.
 
     Words by height join the last line if its running baseline is within
     reach, else start the next: the baseline moves, so this is a fold over
     a page's words, which never outgrow a page. It keeps the baseline and where
     lines start; the lines are then cut out of the page's words.
     """
-    word = F.struct(((F.col("top") + F.col("bottom")) / 2).alias("y"), "x0", "ord", "text", "top", "x1", "bottom")
-    pages = words.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(word)).alias("words"))
+    word = lambda v: F.struct(((v["top"] + v["bottom"]) / 2).alias("y"), *(v[c].alias(c) for c in WORD))
+    pages = pages.select("doc_id", "page_index", F.array_sort(F.transform("words", word)).alias("words"))
     start = F.struct(F.lit(None).cast("double").alias("b"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
 
     def step(s, w):
@@ -49,12 +60,27 @@ def line_fonts(rows: DataFrame, chars: DataFrame) -> DataFrame:
 
     A range join made an equality join by bands about as high as a line. The
     whole part of a character's top must lie between those of the line's ends.
+    Characters of one font, size and height meet lines as one row, which tells
+    their first. Only where that one misses a line that the others may meet are
+    all characters of the page looked at; the lines these are go to the shared
+    folder, so that their number decides how they are joined.
     """
     band = lambda c: F.floor(F.col(c) / BAND)
-    probes = rows.select("doc_id", "page_index", "line", *(F.col(c).alias("l_" + c) for c in ("x0", "top", "x1", "bottom")), F.explode(F.sequence(band("top"), band("bottom"))).alias("band"))
-    c = chars.where("fontname <> '' and size <> 0").withColumn("bucket", F.col("top").cast("int")).withColumn("band", band("top"))
-    met = probes.join(c, ["doc_id", "page_index", "band"]).where("x0 < l_x1 and x1 > l_x0 and top < l_bottom and bottom > l_top and bucket between cast(l_top as int) and cast(l_bottom as int)")
-    fonts = met.groupBy("doc_id", "page_index", "line", F.col("fontname").alias("name"), F.round("size", 2).alias("size")).agg(F.min(F.struct("bucket", "ord")).alias("first"))
+    page = ["doc_id", "page_index"]
+    lines = rows.select(*page, "line", *(F.col(c).alias("l_" + c) for c in ("x0", "top", "x1", "bottom")))
+    probes = lines.select("*", F.explode(F.sequence(band("l_top"), band("l_bottom"))).alias("band"))
+    high = F.expr("top < l_bottom and bottom > l_top and bucket between cast(l_top as int) and cast(l_bottom as int)")
+    beside = F.expr("x0 < l_x1 and x1 > l_x0")
+    c = chars.where("fontname <> '' and size <> 0").select(*page, "ord", F.col("fontname").alias("name"), F.round("size", 2).alias("size"), "x0", "x1", "top", "bottom", F.col("top").cast("int").alias("bucket"), band("top").alias("band"))
+    first = lambda x: F.min_by(x, "ord").alias(x)
+    drawn = c.groupBy(*page, "band", "bucket", "name", "size", "top", "bottom").agg(F.min("ord").alias("ord"), first("x0"), first("x1"), F.min("x0").alias("least"), F.max("x1").alias("most"))
+    found = probes.join(drawn, [*page, "band"]).where(high & F.expr("least < l_x1 and most > l_x0"))
+    found = files.scanned(found.select(*page, "line", "l_x0", "l_top", "l_x1", "l_bottom", "name", "size", "bucket", "band", "top", "bottom", "ord", F.coalesce(beside, F.lit(False)).alias("sure")), "met", "sure")
+    left = found.where("not sure").drop("ord", "sure")
+    missed = left.join(c, [*page, "band", "bucket", "name", "size", "top", "bottom"]).where(beside)
+    kept = [*page, "line", "name", "size", "bucket", "ord"]
+    met = found.where("sure").select(*kept).unionByName(missed.select(*kept))
+    fonts = met.groupBy("doc_id", "page_index", "line", "name", "size").agg(F.min(F.struct("bucket", "ord")).alias("first"))
     listed = fonts.groupBy("doc_id", "page_index", "line").agg(F.array_sort(F.collect_list(F.struct("first", "name", "size"))).alias("f"))
     return listed.select("doc_id", "page_index", "line", F.transform("f", lambda v: F.struct(v["name"].alias("name"), v["size"].alias("size"))).alias("fonts"))
 

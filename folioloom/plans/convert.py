@@ -12,9 +12,15 @@ from folioloom.sources import docx, files, pdf
 
 
 def convert_layout(words: DataFrame, tables: DataFrame, pictures: DataFrame, chars: DataFrame, pages: DataFrame) -> DataFrame:
-    """Lines of page layouts: words clustered and cleaned, table text left out, fonts found, everything numbered in reading order, page numbers marked."""
-    found = layout.cluster_words(words).withColumn("text", T.normalize(F.col("text"))).where("text <> ''")
-    kept = layout.outside_tables(found, tables)
+    """Lines of page layouts: words clustered and cleaned, table text left out, fonts found, everything numbered in reading order, page numbers marked.
+
+    Words are rows, or a row a page with its words as layout.cluster_pages wants
+    them, which are not dealt. Lines are made at this call.
+    """
+    clustered = layout.cluster_pages(words) if "words" in words.columns else layout.cluster_words(words)
+    found = clustered.withColumn("text", T.normalize(F.col("text"))).where("text <> ''")
+    # Written once: fonts are found in two steps, and words need not be clustered for each.
+    kept = files.scanned(layout.outside_tables(found, tables), "lines")
     kept = kept.join(layout.line_fonts(kept, chars), ["doc_id", "page_index", "line"], "left")
     box = ["x0", "top", "x1", "bottom"]
     none = F.lit(None).cast("array<struct<name:string,size:double>>")

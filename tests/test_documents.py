@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from folioloom.functions import png
 from folioloom.functions import text as T
-from folioloom.operators import contents, images, typed_contents
+from folioloom.operators import contents, images, layout, typed_contents
 import __spark_entry__ as entry
 from folioloom.plans import fixture_files
 from folioloom.plans import convert, documents
@@ -270,3 +270,16 @@ def test_prefixes_of_files_read_once(spark, sf_dir, tmp_path):
     for name, most in (("docx_prefixes", 2), ("docx_static_numbers", 5)):
         plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInPandas") <= most
+
+
+def test_fonts_where_the_first_character_of_a_height_misses_the_line(spark):
+    """Two columns of one height and font: the line of the second meets later characters only, and one that lies in a gap meets none."""
+    rows = spark.createDataFrame([(1, 0, 0, 0.0, 10.0, 50.0, 20.0), (1, 0, 1, 100.0, 10.0, 150.0, 20.0), (1, 0, 2, 60.0, 10.0, 90.0, 20.0)], "doc_id long, page_index int, line int, x0 double, top double, x1 double, bottom double")
+    chars = [(1, 0, k, name, 9.0, x, x + 5, 11.0, 19.0) for k, (name, x) in enumerate([("A", 0.0), ("A", 100.0), ("B", 110.0), ("B", 10.0), ("A", 120.0)])]
+    found = layout.line_fonts(rows, spark.createDataFrame(chars, "doc_id long, page_index int, ord int, fontname string, size double, x0 double, x1 double, top double, bottom double"))
+    assert {r["line"]: [f["name"] for f in r["fonts"]] for r in found.collect()} == {0: ["A", "B"], 1: ["A", "B"]}
+
+
+def test_characters_of_one_height_meet_lines_as_one_row(spark, sf_dir):
+    plan = entry.queries()["layout_lines"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(x0" not in plan and plan.count("Generate") <= 2  # words neither clustered nor dealt again for fonts
