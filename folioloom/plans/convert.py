@@ -18,7 +18,8 @@ def convert_layout(words: DataFrame, tables: DataFrame, pictures: DataFrame, cha
     them, which are not dealt. Lines are made at this call.
     """
     clustered = layout.cluster_pages(words) if "words" in words.columns else layout.cluster_words(words)
-    found = clustered.withColumn("text", T.normalize(F.col("text"))).where("text <> ''")
+    # Written before Python cleans them: else each line waits for it with all words of its page beside it.
+    found = files.scanned(clustered, "clustered").withColumn("text", T.normalize(F.col("text"))).where("text <> ''")
     # Written once: fonts are found in two steps, and words need not be clustered for each.
     kept = files.scanned(layout.outside_tables(found, tables), "lines")
     kept = kept.join(layout.line_fonts(kept, chars), ["doc_id", "page_index", "line"], "left")
