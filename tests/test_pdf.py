@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import time
 import zlib
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +234,22 @@ def test_tables_with_page_sizes(spark, sf_dir, tmp_path):
     (table,) = pdf.tables(pdf.layout(files.files(spark, str(tmp_path)), ("table",))).collect()
     assert (table["width"], table["height"], table["table_idx"]) == (600, 800, 0)
     assert scans(entry.queries()["pdf_tables"](spark, sf_dir)) == 2
+
+
+def against_sql(spark, tmp_path, name: str, texts: dict[int, str | None]) -> tuple[Counter, Counter]:
+    """Rows of a query and of its SQL over documents of the given texts."""
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()[name])
+    got = entry.queries()[name](spark, str(tmp_path)).select([d[0] for d in want.description])
+    return Counter(map(tuple, got.collect())), Counter(want.fetchall())
+
+
+#: Texts without lines, with an empty one, with a page's lines and one more.
+FEW_LINES = {1: None, 2: "", 3: "\n", 4: "\n\n", 5: "a b\n" * 40, 6: "a\n" * 41, 11: None}
+
+
+def test_page_counts_of_texts_without_lines(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "pdf_page_counts", FEW_LINES)
+    assert got == want == Counter([(3, 1), (4, 1), (5, 1), (6, 2)])
