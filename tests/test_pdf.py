@@ -263,3 +263,9 @@ def test_words_of_odd_texts(spark, tmp_path):
     }
     got, want = against_sql(spark, tmp_path, "pdf_words", FEW_LINES | odd)
     assert got == want and {r[0] for r in want} == {3, 4, 5, 6, *odd}
+
+
+def test_image_boxes_of_odd_numbers(spark, tmp_path):
+    """No images of texts without lines; boxes of documents whose numbers are negative, or too large for a double."""
+    got, want = against_sql(spark, tmp_path, "pdf_images", FEW_LINES | {-7: "a", -50: "a\n" * 121, -12: None, 2**53 + 1: "a"})
+    assert got == want and {r[0]: r[3] for r in want} == {3: 103, 4: 104, 5: 105, 6: 106, -7: 93, -50: 100, 2**53 + 1: 143}
