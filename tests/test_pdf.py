@@ -269,3 +269,8 @@ def test_image_boxes_of_odd_numbers(spark, tmp_path):
     """No images of texts without lines; boxes of documents whose numbers are negative, or too large for a double."""
     got, want = against_sql(spark, tmp_path, "pdf_images", FEW_LINES | {-7: "a", -50: "a\n" * 121, -12: None, 2**53 + 1: "a"})
     assert got == want and {r[0]: r[3] for r in want} == {3: 103, 4: 104, 5: 105, 6: 106, -7: 93, -50: 100, 2**53 + 1: 143}
+
+
+def test_tables_of_texts_without_lines(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "pdf_tables", FEW_LINES | {-7: "a", -12: None, 31: "a\n" * 81, 32: "\U0001f600"})
+    assert got == want and Counter(r[0] for r in want) == {3: 1, 4: 1, 5: 1, 6: 1, -7: 1, 31: 2, 32: 1}
