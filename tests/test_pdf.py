@@ -8,13 +8,14 @@ import zlib
 from collections import Counter
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from folioloom import __main__ as cli
 from folioloom.functions import png
-from folioloom.plans import convert, documents
+from folioloom.plans import convert, documents, fixture_files
 from folioloom.sources import files, pdf, precheck
 
 
@@ -274,3 +275,12 @@ def test_image_boxes_of_odd_numbers(spark, tmp_path):
 def test_tables_of_texts_without_lines(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "pdf_tables", FEW_LINES | {-7: "a", -12: None, 31: "a\n" * 81, 32: "\U0001f600"})
     assert got == want and Counter(r[0] for r in want) == {3: 1, 4: 1, 5: 1, 6: 1, -7: 1, 31: 2, 32: 1}
+
+
+def test_files_are_handed_on_by_size():
+    """Small batches of files, whatever the number of their documents; none is lost at a batch's end."""
+    rows = pd.DataFrame({"doc_id": range(3000), "text": "word " * 400})
+    frames = list(fixture_files.batches(iter([rows, rows[:1], rows[:0]]), fixture_files.pdf_file))
+    assert max(sum(map(len, f["content"])) for f in frames) < fixture_files.BATCH + 10_000 and len(frames) > 2
+    assert [p for f in frames for p in f["path"]] == [*map(str, range(3000)), "0"]
+    assert frames[0]["content"][1] == fixture_files.pdf_file(1, "word " * 400)
